@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding
-from .common import table
+from . import decontaminate, lang_id, packing, quality_classifier, sharding
+from .common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+    model = lang_id.fit(docs.where(~F.col("held_out")))
+    return lang_id.predict(docs, model, carry=["doc_id", "held_out"])
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+    model = quality_classifier.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    scored = quality_classifier.predict(docs, model, carry=["doc_id", "held_out"])
+    predicted = (F.col("__score") >= quality_classifier.THRESHOLD).cast("int")
+    return scored.select("doc_id", "held_out", F.col("__score").alias("score"), predicted.alias("predicted"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +90,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op3_decontamination": op3_decontamination,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_sharding": op6_sharding,
         "op8_packing": op8_packing,
     }
