@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, lm_score, packing, quality_classifier, sharding
+from . import decontaminate, lang_id, lm_score, near_dedup, packing, quality_classifier, sharding
 from .common import held_out, table
 
 
@@ -103,6 +103,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_texts", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op8_packing": op8_packing,
         "op9_lm_score": op9_lm_score,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
