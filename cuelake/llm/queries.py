@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, lm_score, near_dedup, packing, quality_classifier, sharding
+from . import decontaminate, lang_id, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding
 from .common import held_out, table
 
 
@@ -25,6 +25,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("__score").alias("score"), predicted.alias("predicted"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlap(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]
@@ -111,6 +115,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_quality_rules": op2_quality_rules,
         "op3_decontamination": op3_decontamination,
         "op4_quality_classifier": op4_quality_classifier,
         "op6_sharding": op6_sharding,
