@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding
+from . import decontaminate, lang_id, license_scan, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filter
 from .common import held_out, table
 
 
@@ -73,6 +73,10 @@ FROM doc LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.stratified_shards(table(spark, sf_dir, "documents"))
     return shards.select(
@@ -88,6 +92,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -118,7 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_decontamination": op3_decontamination,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_url_filter": op5_url_filter,
         "op6_sharding": op6_sharding,
+        "op7_license_scan": op7_license_scan,
         "op8_packing": op8_packing,
         "op9_lm_score": op9_lm_score,
         "op10_near_dedup": op10_near_dedup,
