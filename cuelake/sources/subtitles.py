@@ -129,7 +129,10 @@ def parse(texts: DataFrame, file: str = "file_id", text: str = "text") -> DataFr
 
 
 def read_cues(spark: SparkSession, path: str, *, encoding: str = "auto") -> DataFrame:
-    """Cues of all subtitle files below a path, with one error row for each file that isn't valid."""
+    """Cues of all subtitle files below a path, with one error row for each file that isn't valid.
+
+    Files of no bytes at all are passed over by Spark's file listing and have no row; files of blanks have.
+    """
     files = read_files(spark, path).select(F.col("path").alias("file_id"), decode(F.col("content"), encoding).alias("d"))
     files = files.select("file_id", F.col("d.text").alias("text"), F.col("d.error").alias("error"))
     empty = F.when(F.col("error").isNull() & (F.col("text") == ""), "empty").otherwise(F.col("error"))
