@@ -135,6 +135,8 @@ class QualityModel:
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int) -> float:
     """Share of positives among the unlabelled: g tells positives from unlabelled on one half; on the
     other half, the share of unlabelled texts above the floor of g is divided by that of positives."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
     w = _fit_risk(positive[::2], unlabelled[::2], None, steps)
     p, u = _logistic(positive[1::2] @ w), _logistic(unlabelled[1::2] @ w)
     # Unlabelled positives score as trusted ones do, so few of them lie below the trusted ones' floor.
