@@ -46,8 +46,9 @@ FLOORS = (0.12, 0.2, 0.15, 0.2, 0.1, 0.1)
 CUT = 40.0
 MEDIAN_D2 = 5.348
 
-#: Ordinary words that every text is thought to have besides its own, as short texts vary more.
+#: Ordinary words and lines that every text is thought to have besides its own, as short texts vary more.
 PRIOR_WORDS = 20
+PRIOR_LINES = 2
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -113,7 +114,7 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
     vector = [
         F.ln((F.col("word_chars") + 5 * PRIOR_WORDS) / (n + PRIOR_WORDS)),
         F.log1p(10 * F.col("n_symbols") / (n + PRIOR_WORDS / 4)),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1))),
+        F.sqrt(F.col("n_dup_lines") / (F.col("__n_lines") + PRIOR_LINES)),
         F.sqrt(F.col("n_repeat_words") / n),
         F.sqrt(F.col("__upper") / F.greatest(F.col("word_chars"), F.lit(1))),
         F.ln((F.col("__distinct") + 1.0) / (F.pow(n, 0.85) + 1)),
@@ -235,19 +236,18 @@ def judge(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """``stats`` with kept: false if the base rule fails or the vector is an outlier of its group."""
     names = [f"m{k}" for k in range(DIMENSIONS)] + [f"p_{i}_{j}" for i, j in _PAIRS] + ["scale"]
     few = groups.count() <= BROADCAST_GROUPS
-    out = stats
-    for level in range(3):
-        least = LEAST_GROUP if level < 2 else 1
-        held = groups.where((F.col("__level") == level) & (F.col("n") >= least)).select(
+    # The estimate for all is one row, and goes into the plan as constants.
+    overall = groups.where("__level = 2").select(*names).first()
+    values = [F.lit(None if overall is None else overall[n]).cast("double").alias(n) for n in names]
+    out = stats.withColumn("__g2", F.struct(*values))
+    for level in range(2):
+        held = groups.where((F.col("__level") == level) & (F.col("n") >= LEAST_GROUP)).select(
             F.col("__lang").alias(f"__lang{level}"), F.col("__source").alias(f"__source{level}"), F.struct(*names).alias(f"__g{level}")
         )
-        on = F.lit(True)
-        if level < 2:
-            on = F.col("lang").eqNullSafe(F.col(f"__lang{level}"))
+        on = F.col("lang").eqNullSafe(F.col(f"__lang{level}"))
         if level < 1:
             on = on & F.col("source").eqNullSafe(F.col(f"__source{level}"))
-        # The estimate for all is one row.
-        out = out.join(F.broadcast(held) if few or level == 2 else held, on, "left").drop(f"__lang{level}", f"__source{level}")
+        out = out.join(F.broadcast(held) if few else held, on, "left").drop(f"__lang{level}", f"__source{level}")
     out = out.withColumn("__g", F.coalesce("__g0", "__g1", "__g2")).drop("__g0", "__g1", "__g2")
     d2 = _distance(lambda k: F.col(f"__g.m{k}"), lambda i, j: F.col(f"__g.p_{i}_{j}")) / F.col("__g.scale")
     return out.withColumn("distance2", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(d2 <= CUT, F.lit(True))).drop("__g")
