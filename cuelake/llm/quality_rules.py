@@ -42,8 +42,8 @@ LEAST_GROUP = 200
 BROADCAST_GROUPS = 20_000
 #: Least standard deviations of the statistics, in order: what a careful writer may vary by.
 FLOORS = (0.12, 0.2, 0.15, 0.2, 0.1, 0.1)
-#: Squared distance beyond which a vector is an outlier: the chi-square quantile of 1 - 5e-7 with 6 degrees; and their median.
-CUT = 40.0
+#: Squared distance beyond which a vector is an outlier: about the chi-square quantile of 1 - 5e-9 with 6 degrees; and their median.
+CUT = 50.0
 MEDIAN_D2 = 5.348
 
 #: Ordinary words and lines that every text is thought to have besides its own, as short texts vary more.
