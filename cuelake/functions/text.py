@@ -160,9 +160,9 @@ def is_hallucination(text: Column, mode: str = "conservative") -> Column:
     found = blank | normalized_phrase(text).isin(plain)
     if mode == "conservative":
         return found
-    lowered = F.lower(text)
-    for phrase in AGGRESSIVE_PHRASES:
-        found = found | F.contains(lowered, F.lit(phrase.casefold()))
+    # One expression for all phrases, so the text is lowered and read once.
+    any_phrase = "|".join(rf"\Q{p.casefold()}\E" for p in AGGRESSIVE_PHRASES)
+    found = found | F.lower(text).rlike(any_phrase)
     stripped = strip(text)
     for opening, closing in ("()", "（）", "[]"):
         found = found | (F.startswith(stripped, F.lit(opening)) & F.endswith(stripped, F.lit(closing)))

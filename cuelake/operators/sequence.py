@@ -2,15 +2,16 @@
 
 Segmentation and duplicate suppression depend on what was kept before, which no window function
 sees. Each exists as a fold of built-in functions over a sorted array (``*_native``, for short
-files: its cost grows with the square of the length) and as a loop over one file's rows. The
-loop's state is a few numbers; a group holds one file.
+files: its cost grows with the square of the length) and as a loop over rows partitioned and
+sorted by file. The loop streams: it holds a segment at a time, whatever a file's length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from cuelake import schemas
 from cuelake.functions.text import CLOSERS, OPENERS, is_hallucination, join_words, strip
 
 MAX_CHARS, MAX_SECONDS, MAX_GAP = 25, 6.0, 0.5
+_SEGMENT_TYPES = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string())
 
 
 def is_cjk(language: str) -> bool:
@@ -44,19 +46,27 @@ class TextJoin:
             self.last = part[-1]
 
 
-def segments_of(rows: Iterator[tuple[str, float, float]], max_chars: int, max_seconds: float, max_gap: float, language: str):
-    """(start, end, text) of greedy segments: a word that would overstep a limit begins a new one."""
-    text, begin, end = None, 0.0, 0.0
-    for word, start, stop in rows:
-        if text is not None and (text.added(word)[1] > max_chars or stop - begin > max_seconds or start - end > max_gap):
-            yield begin, end, "".join(text.parts)
-            text = None
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """All rows of a file in one partition, in order: loops can then stream over them with constant memory."""
+    return rows.repartition("file_id").sortWithinPartitions("file_id", "seq")
+
+
+def segments_of(rows: Iterator[tuple[str, str, float, float]], max_chars: int, max_seconds: float, max_gap: float, language: str):
+    """(file, number, start, end, text) of greedy segments: a word that would overstep a limit begins a new one."""
+    file = text = None
+    number, begin, end = 0, 0.0, 0.0
+    for this, word, start, stop in rows:
+        if text is not None:
+            other = this != file
+            if other or text.added(word)[1] > max_chars or stop - begin > max_seconds or start - end > max_gap:
+                yield file, number, begin, end, "".join(text.parts)
+                text, number = None, 0 if other else number + 1
         if text is None:
-            text, begin = TextJoin(language), start
+            file, text, begin = this, TextJoin(language), start
         text.take(word)
         end = stop
     if text is not None:
-        yield begin, end, "".join(text.parts)
+        yield file, number, begin, end, "".join(text.parts)
 
 
 def segment_words(
@@ -69,14 +79,19 @@ def segment_words(
 ) -> DataFrame:
     """Segments (file_id, seq, start, end, text) of words (file_id, seq, word, start, end)."""
 
-    def one_file(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        found = list(segments_of(zip(rows["word"], rows["start"], rows["end"], strict=True), max_chars, max_seconds, max_gap, language))
-        return pd.DataFrame(
-            [(key[0], k, *segment) for k, segment in enumerate(found)], columns=["file_id", "seq", "start", "end", "text"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            row
+            for batch in batches
+            for row in zip(*(batch.column(c).to_pylist() for c in ("file_id", "word", "start", "end")), strict=True)
         )
+        found = segments_of(rows, max_chars, max_seconds, max_gap, language)
+        while some := list(islice(found, 10_000)):
+            arrays = [pa.array(x, t) for x, t in zip(zip(*some, strict=True), _SEGMENT_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "seq", "start", "end", "text"])
 
-    return words.groupBy("file_id").applyInPandas(one_file, schemas.SEGMENT)
+    ordered = _in_file_order(words.select("file_id", "seq", "word", "start", "end"))
+    return ordered.mapInArrow(run, schemas.SEGMENT)
 
 
 def segment_words_native(
@@ -123,17 +138,20 @@ def gap_sessions(rows: DataFrame, key: str, at: Column, order: list[str], max_ga
 def drop_near_duplicates(segments: DataFrame, *, window_seconds: float = 0.1) -> DataFrame:
     """Segments without those that repeat the text of the last kept one within the window after its end."""
 
-    def one_file(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        keep, text, end = [], None, 0.0
-        for this, start, stop in zip(rows["text"].str.strip(), rows["start"], rows["end"], strict=True):
-            kept = text is None or this != text or start > end + window_seconds
-            if kept:
-                text, end = this, stop
-            keep.append(kept)
-        return rows[keep]
-
-    return segments.groupBy("file_id").applyInPandas(one_file, segments.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = text = None
+        end = 0.0
+        for batch in batches:
+            keep = []
+            for this, said, start, stop in zip(*(batch.column(c).to_pylist() for c in ("file_id", "text", "start", "end")), strict=True):
+                said = said.strip()
+                kept = this != file or said != text or start > end + window_seconds
+                if kept:
+                    file, text, end = this, said, stop
+                keep.append(kept)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return _in_file_order(segments).mapInArrow(run, segments.schema)
 
 
 def drop_near_duplicates_native(segments: DataFrame, *, window_seconds: float = 0.1) -> DataFrame:
