@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import identity, text, timecodes
-from cuelake.operators import enrich, manifest, metrics, sequence, validation
+from cuelake.operators import enrich, manifest, metrics, sequence, stages, validation
 from cuelake.sources import sinks, subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,6 +424,37 @@ def retry_decisions(spark, sf_dir):
     return manifest.retry_decisions(failures).select(F.col("seq").alias("event_id"), "retried")
 
 
+_STAGE = "CASE event_id % 3 WHEN 0 THEN 'extract' WHEN 1 THEN 'stt' ELSE 'translate' END"
+_ERROR = "CASE event_id % 4 WHEN 0 THEN 'write failed: Disk full' WHEN 1 THEN 'CUDA error' ELSE props END"
+
+
+@query(
+    "stage_transitions",
+    f"""WITH r AS (SELECT event_id, {_STAGE} AS stage, event_type <> 'error' AS success, lower({_ERROR}) AS error, event_id % 2 AS segments FROM events)
+SELECT event_id, CASE WHEN success THEN CASE stage WHEN 'extract' THEN 'audio_ready' WHEN 'translate' THEN 'complete'
+    ELSE CASE WHEN segments > 0 THEN 'source_ready' ELSE 'no_text' END END
+  WHEN stage = 'extract' AND contains(error, 'disk full') THEN 'pending' ELSE 'failed' END AS phase, contains(error, 'cuda') AS fatal FROM r""",
+)
+def stage_transitions(spark, sf_dir):
+    results = table(spark, sf_dir, "events").select(
+        "event_id", F.expr(_STAGE).alias("stage"), (F.col("event_type") != "error").alias("success"), F.expr(_ERROR).alias("error"), (F.col("event_id") % 2).alias("segments")
+    )
+    return stages.advance(results).select("event_id", "phase", stages.is_fatal(F.col("error")).alias("fatal"))
+
+
+@query(
+    "stage_pauses",
+    f"""WITH r AS (SELECT user_id, {_STAGE} AS stage, lower({_ERROR}) AS error, 400 + event_id % 40 AS status, event_id * 1000000 AS free_bytes FROM events)
+SELECT user_id, bool_or(stage = 'extract' AND (free_bytes < 536870912 OR contains(error, 'disk full'))) AS extract_paused,
+  bool_or(stage = 'translate' AND status IN (400, 401, 403, 404, 429)) AS translate_paused FROM r GROUP BY user_id""",
+)
+def stage_pauses(spark, sf_dir):
+    results = table(spark, sf_dir, "events").select(
+        "user_id", F.expr(_STAGE).alias("stage"), F.expr(_ERROR).alias("error"), (F.col("event_id") % 40 + 400).alias("status"), (F.col("event_id") * 1000000).alias("free_bytes")
+    )
+    return stages.pauses(results, "user_id")
+
+
 @query(
     "safe_names",
     """SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'default') AS name,
