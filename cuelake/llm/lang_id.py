@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ ROUNDS = 3
 PIECE = 8
 RUN = 32
 #: Words a task remembers; beyond that it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: The model, a table of pieces by languages, is held to this many languages.
 MOST_LANGUAGES = 500
 #: Expected count that every piece has to begin with.
@@ -68,117 +69,168 @@ def letter_runs(text: str) -> list[str]:
     return runs
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Pieces:
-    """Where the pieces of the vocabulary lie in words. Any other letter is the piece numbered last."""
+    """Where the pieces of the vocabulary lie in words. Any other letter is the piece numbered last.
+
+    Pieces are found by hash for many words at once: a polynomial hash of 64 bits, looked up in a
+    table and, for the few whose places there are taken, in a second one.
+    """
+
+    BITS = 18
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: k for k, p in enumerate(pieces)}
         self.size = len(pieces) + 1
+        hashes = [int(self._prefixes([p])[0, -1]) for p in pieces]
+        rng = np.random.default_rng(1)
+        while True:
+            self.tables, left = [], dict(zip(hashes, range(len(pieces)), strict=True))
+            for _ in range(2):
+                factor = int(rng.integers(1, 1 << 62)) * 2 + 1
+                keys, values, over = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32), {}
+                for h, k in left.items():
+                    slot = (h * factor) % (1 << 64) >> (64 - self.BITS)
+                    if values[slot] < 0:
+                        keys[slot], values[slot] = h, k
+                    else:
+                        over[h] = k
+                self.tables.append((np.uint64(factor), keys, values))
+                left = over
+            if not left:
+                break
+
+    @staticmethod
+    def _prefixes(words: list[str]) -> np.ndarray:
+        """Hashes (word, end) of all beginnings of words of one length."""
+        size = len(words[0])
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).astype(np.uint64)
+        out = np.zeros((len(words), size + 1), np.uint64)
+        for k in range(size):
+            out[:, k + 1] = out[:, k] * _BASE + letters[:, k] + np.uint64(1)
+        return out
 
     def lattice(self, words: list[str]) -> np.ndarray:
-        """Piece numbers by (end, length - 1, word); -1 where there is none."""
-        longest = max(map(len, words), default=0)
-        out = np.full((longest + 1, PIECE, len(words)), -1, np.int32)
-        find, other = self.number.get, self.size - 1
-        ends, lengths, rows, numbers = [], [], [], []
-        for row, word in enumerate(words):
-            for end in range(1, len(word) + 1):
-                for length in range(1, min(PIECE, end) + 1):
-                    k = find(word[end - length : end], other if length == 1 else -1)
-                    if k >= 0:
-                        ends.append(end)
-                        lengths.append(length - 1)
-                        rows.append(row)
-                        numbers.append(k)
-        out[ends, lengths, rows] = numbers
+        """Piece numbers by (end, length - 1, word) for words of one length; -1 where there is none."""
+        size = len(words[0])
+        prefixes = self._prefixes(words).T.copy()
+        out = np.full((size + 1, PIECE, len(words)), -1, np.int32)
+        power = np.ones(1, np.uint64)
+        for length in range(1, min(PIECE, size) + 1):
+            power = power * _BASE
+            h = prefixes[length:] - prefixes[:-length] * power
+            found = np.full(h.shape, -1, np.int32)
+            for factor, keys, values in self.tables:
+                slot = (h * factor) >> np.uint64(64 - self.BITS)
+                found = np.where(keys[slot] == h, values[slot], found)
+            if length == 1:
+                found[found < 0] = self.size - 1
+            out[length:, length - 1] = found
         return out
 
 
-def forward(lattice: np.ndarray, sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """Sums over segmentations of all prefixes: (end, word, language). ``chances`` is padded with a row of zeros."""
+def same_length(words: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words of one length at a time, with their places."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        for at in range(0, len(group), most):
+            some = group[at : at + most]
+            if len(some) and sizes[some[0]]:
+                yield some, [words[k] for k in some.tolist()]
+
+
+def forward(lattice: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Sums over segmentations of all beginnings: (end, word, language). The last row of ``chances`` is zero."""
     ends, _, n = lattice.shape
     alpha = np.zeros((ends, n, chances.shape[1]))
     alpha[0] = 1
     for end in range(1, ends):
         for length in range(1, min(PIECE, end) + 1):
-            alpha[end] += alpha[end - length] * chances[lattice[end, length - 1]]
+            number = lattice[end, length - 1]
+            # Long pieces are rare: most words have none at most places.
+            there = np.flatnonzero(number >= 0)
+            if len(there) * 2 > n:
+                alpha[end] += alpha[end - length] * chances[number]
+            elif len(there):
+                alpha[end, there] += alpha[end - length, there] * chances[number[there]]
     return alpha
 
 
 def word_scores(words: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
-    """Log probabilities (word, language). Words are taken in groups of like length."""
+    """Log probabilities (word, language)."""
     out = np.zeros((len(words), chances.shape[1]))
     padded = np.vstack([chances, np.zeros(chances.shape[1])])
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
-        sizes = np.array([len(words[k]) for k in some])
-        alpha = forward(pieces.lattice([words[k] for k in some]), sizes, padded)
-        out[some] = np.log(np.maximum(alpha[sizes, np.arange(len(some))], 1e-300))
+    for places, some in same_length(words):
+        out[places] = np.log(np.maximum(forward(pieces.lattice(some), padded)[-1], 1e-300))
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """Expected uses (piece) of one language's pieces over counted words, by forward and backward sums."""
-    uses = np.zeros(pieces.size + 1)
-    padded = np.append(chances, 0.0)[:, None]
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
-        sizes = np.array([len(words[k]) for k in some])
-        lattice = pieces.lattice([words[k] for k in some])
-        alpha = forward(lattice, sizes, padded)[:, :, 0]
+    uses = np.zeros(pieces.size)
+    padded = np.append(chances, 0.0)
+    for places, some in same_length(words):
+        lattice = pieces.lattice(some)
+        alpha = forward(lattice, padded[:, None])[:, :, 0]
         ends, _, n = lattice.shape
-        rows = np.arange(n)
-        total = np.maximum(alpha[sizes, rows], 1e-300)
         beta = np.zeros((ends, n))
-        beta[sizes, rows] = 1
-        weight = counts[some] / total
+        beta[-1] = 1
+        weight = counts[places] / np.maximum(alpha[-1], 1e-300)
         for end in range(ends - 1, 0, -1):
             for length in range(1, min(PIECE, end) + 1):
                 number = lattice[end, length - 1]
-                chance = padded[number, 0]
-                np.add.at(uses, number, alpha[end - length] * chance * beta[end] * weight)
-                beta[end - length] += chance * beta[end]
-    return uses[:-1]
+                passed = padded[number] * beta[end]
+                used = alpha[end - length] * passed * weight
+                there = number >= 0
+                uses += np.bincount(number[there], weights=used[there], minlength=len(uses))
+                beta[end - length] += passed
+    return uses
 
 
 class LanguageModel:
     def __init__(self, languages: list[str], pieces: list[str], chances: np.ndarray):
         self.languages, self.pieces, self.chances = languages, pieces, chances
+        self._found: Pieces | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_found": None}
 
     def scorer(self):
         """texts -> (language, score) for each, with a bounded memory of words."""
-        pieces = Pieces(self.pieces)
+        pieces = self._found = self._found or Pieces(self.pieces)
         place: dict[str, int] = {}
-        scores = np.zeros((0, len(self.languages)))
+        scores, lettered = np.zeros((0, len(self.languages))), np.zeros(0, bool)
 
         def score(texts: list[str | None]) -> list[tuple[str, float]]:
-            nonlocal scores
+            nonlocal scores, lettered
             runs = [letter_runs(t) if t else [] for t in texts]
             new = list(set().union(*runs).difference(place))
             if len(place) + len(new) > REMEMBERED:
                 place.clear()
-                scores = np.zeros((0, len(self.languages)))
+                scores, lettered = np.zeros((0, len(self.languages))), np.zeros(0, bool)
                 new = list(set().union(*runs))
             if new:
                 # \w also holds numerals such as the superscript two, which aren't letters.
                 kept = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in new]
-                found = word_scores(kept, pieces, self.chances)
-                found[[k for k, w in enumerate(kept) if not w]] = np.nan
                 place.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
-                scores = np.concatenate([scores, found])
-            out = []
-            for words in runs:
-                total = scores[list(map(place.__getitem__, words))]
-                total = total[~np.isnan(total[:, 0])] if len(self.languages) else total
-                if not len(total) or not self.languages:
-                    out.append(("und", 0.0))
-                    continue
-                total = total.sum(axis=0)
-                best = int(total.argmax())
-                out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
-            return out
+                scores = np.concatenate([scores, word_scores(kept, pieces, self.chances)])
+                lettered = np.concatenate([lettered, np.fromiter(map(bool, kept), bool, len(kept))])
+            sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+            places = np.fromiter(map(place.__getitem__, chain.from_iterable(runs)), np.int64, int(sizes.sum()))
+            best = [("und", 0.0)] * len(texts)
+            some = np.flatnonzero(sizes)
+            if len(some) and self.languages:
+                starts = (np.cumsum(sizes) - sizes)[some]
+                totals = np.add.reduceat(scores[places], starts, axis=0)
+                letters = np.add.reduceat(lettered[places].astype(np.int64), starts)
+                likeliest = totals.argmax(axis=1)
+                posteriors = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+                for row, n, k, p in zip(some.tolist(), letters.tolist(), likeliest.tolist(), posteriors.tolist(), strict=True):
+                    if n:
+                        best[row] = (self.languages[k], p)
+            return best
 
         return score
 
