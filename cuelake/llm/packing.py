@@ -1,14 +1,14 @@
 """Packing along a space-filling curve.
 
 Each document's token counts are hashed into a vector of ``WIDTH`` places and projected to three
-dimensions. The place of that point on a Hilbert curve, with some bits of an id hash below it to
+dimensions. The place of that point on a Hilbert curve, with some bits of a row hash below it to
 part equal points, is the sort key; documents near each other on the curve follow each other in
 one stream of tokens, which is cut every ``SEQUENCE`` tokens.
 
 Texts are tokenised once: ids go as two or four bytes each into a table in the shared folder, are
 range-partitioned once by curve place, and become pieces there. Where a run starts in the stream
 follows from the sums of token counts of the runs before it, so only those sums meet on the driver
-(at most ``MOST_RUNS``). A hot group of equal texts is split by the id bits of the key.
+(at most ``MOST_RUNS``). A hot group of equal texts is split by the row bits of the key.
 
 Defined results: a null text is empty, and an empty one is its end id alone; repeated rows are
 documents of their own; an empty table gives an empty result; other columns are ignored. Only the
@@ -37,7 +37,7 @@ END_ID = 1
 WIDTH = 1024
 DIMENSIONS = 3
 BITS = 10
-#: Bits of the id hash below the curve place; 30 + 20 bits are exact as a double.
+#: Bits of the row hash below the curve place; 30 + 20 bits are exact as a double.
 TIE_BITS = 20
 RUN_TOKENS = 4_000_000
 MOST_RUNS = 65_536
@@ -171,9 +171,11 @@ def pack(
     spark = docs.sparkSession
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     points = ", ".join(f"x{k} float" for k in range(DIMENSIONS))
-    tokens = docs.select("doc_id", "text").mapInArrow(
-        _tokens(vocabulary or default_vocabulary(), ["doc_id"]),
-        f"doc_id {doc_type}, ids binary, n_tokens long, {points}",
+    # The row's number parts even rows that are equal in all columns. It is stored, so every later step sees the same.
+    tie = F.xxhash64("doc_id", F.monotonically_increasing_id()).bitwiseAND((1 << TIE_BITS) - 1)
+    tokens = docs.select("doc_id", tie.alias("tie"), "text").mapInArrow(
+        _tokens(vocabulary or default_vocabulary(), ["doc_id", "tie"]),
+        f"doc_id {doc_type}, tie long, ids binary, n_tokens long, {points}",
     )
     tokens = materialise(tokens, "tokens")
 
@@ -184,16 +186,18 @@ def pack(
     n_rows, n_tokens = total[0], total[1] or 0
     means = [v or 0.0 for v in total[2::2]]
     deviations = [max(v or 0.0, 1e-6) for v in total[3::2]]
-    tie = F.xxhash64(F.col("doc_id")).bitwiseAND((1 << TIE_BITS) - 1)
-    keyed = tokens.withColumn("key", _curve_key(means, deviations)(*axes, tie))
+    keyed = tokens.withColumn("key", _curve_key(means, deviations)(*axes, "tie"))
 
     runs = min(MOST_RUNS, max(1, math.ceil(n_tokens / run_tokens)))
     cuts: list[float] = []
     if runs > 1:
-        some = keyed.select("key").sample(min(1.0, CUT_SAMPLE / n_rows), seed=SEED)
-        seen = np.sort(some.toPandas()["key"].to_numpy())
+        # Long texts lie together on the curve, so runs are cut by tokens, not rows.
+        some = keyed.select("key", "n_tokens").sample(min(1.0, CUT_SAMPLE / n_rows), seed=SEED)
+        seen = some.toPandas().sort_values("key")
         if len(seen):
-            cuts = np.unique(seen[(np.arange(1, runs) * len(seen)) // runs]).astype(float).tolist()
+            tokens_to = seen["n_tokens"].cumsum().to_numpy()
+            places = np.searchsorted(tokens_to, np.arange(1, runs) * (tokens_to[-1] / runs))
+            cuts = np.unique(seen["key"].to_numpy()[places]).astype(float).tolist()
     # Keys aren't negative; the first bucket is there as a Bucketizer wants two at least.
     ranges = Bucketizer(splits=[-math.inf, -1.0, *cuts, math.inf], inputCol="place", outputCol="run_d")
     keyed = ranges.transform(keyed.withColumn("place", F.col("key").cast("double")))
