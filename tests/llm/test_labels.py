@@ -144,5 +144,25 @@ def test_suffix_tree_scores_longest_retained_suffixes(spark):
         assert math.isclose(total, got, rel_tol=1e-9)
 
 
+def test_suffix_tree_keeps_all_contexts_that_pass(spark):
+    rng = np.random.default_rng(9)
+    text = bytes(rng.integers(97, 123, 60_000, dtype=np.uint8)).decode()
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    tree = lm_score.fit(docs, least_count=1, least_gain=0.5).tree
+    stream = "\n" * lm_score.DEPTH + text + "\n"
+    grams = [Counter((stream[at - d : at], stream[at]) for at in range(lm_score.DEPTH, len(stream))) for d in range(lm_score.DEPTH + 1)]
+    totals = [Counter() for _ in grams]
+    for d, counts in enumerate(grams):
+        for (context, _), n in counts.items():
+            totals[d][context] += n
+    wanted = 1
+    for d in range(1, lm_score.DEPTH + 1):
+        gains = Counter()
+        for (context, symbol), n in grams[d].items():
+            gains[context] += n * math.log(n / totals[d][context] / (grams[d - 1][context[1:], symbol] / totals[d - 1][context[1:]]))
+        wanted += sum(g >= 0.5 for g in gains.values())
+    assert len(tree.states) == len(tree.logs) == wanted > 20_001
+
+
 def test_language_model_empty(spark, tmp_path):
     assert q.op9_lm_score(spark, folder(spark, tmp_path, documents=documents(spark, []))).collect() == []
