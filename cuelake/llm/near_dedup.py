@@ -14,9 +14,11 @@ Skew. Exact copies are first merged by their digest (partial aggregates, whateve
 Within a group of equal sketches every text is compared with the first and the last of the group,
 not with all others. Once components are known, groups that still hold several components compare
 one text of each (the first and the last) with the neighbouring components and with the group's
-first, so a text that resembles only some of its group still finds them; this is repeated
-``ROUNDS`` times. Nothing is capped: a group of any size takes rows in proportion, and no group
-meets in one task.
+first; this is repeated up to ``ROUNDS`` times. Then all pairs of a group that are still in
+different components, untried and of lengths that allow the similarity are compared, so every pair
+that shares a sketch ends up in one component or verified. That last step takes rows with the square
+of what is left of a group; it is dealt in blocks of about ``BLOCK`` x ``BLOCK`` texts, so that no
+group meets in one task.
 
 Pairs of similarity 0.8 share a sketch with probability 1 - (1 - 0.8**PICKED)**SKETCHES, above
 0.9999.
@@ -45,6 +47,7 @@ PICKED = 5
 SKETCHES = 24
 SIMILARITY = 0.8
 ROUNDS = 2
+BLOCK = 500
 
 _MIX = np.random.default_rng(10).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -226,6 +229,29 @@ def _next_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select("x", F.explode("others").alias("y")).select(*_pairs(F.col("x"), F.col("y"))).distinct()
 
 
+def _rest_pairs(members: DataFrame, roots: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
+    """All pairs of a group that are in different components and whose lengths allow the similarity."""
+    group = ["band", "key"]
+    words = (F.octet_length("seq") / 2).cast("int")
+    sizes = seqs.select("node", F.greatest(F.lit(1), words - (K - 1)).alias("size"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = (
+        placed.groupBy(*group)
+        .agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+        .where("r1 <> r2")
+        .select(*group, "parts")
+    )
+    dealt = placed.join(several, group).join(sizes, "node")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = materialise(dealt, "groups")
+    # Block (i, j), i <= j, compares the texts of part i with those of part j.
+    one = dealt.select(*group, F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), *(F.col(c).alias(f"{c}1") for c in ("node", "root", "size")))
+    other = dealt.select(*group, F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"{c}2") for c in ("node", "root", "size")))
+    pairs = one.join(other, [*group, "i", "j"]).where("root1 <> root2 and (i <> j or node1 < node2)")
+    near = F.least("size1", "size2") >= least * F.greatest("size1", "size2") - 1e-6
+    return pairs.where(near).select(*_pairs(F.col("node1"), F.col("node2"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_md5 (binary; null for a null text), class_id (the least id of the class), class_texts
     (different texts in the class), n_links (verified links of the row's text) and representative (the
@@ -263,6 +289,8 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int =
         if found.isEmpty():
             break
         links = links.union(found)
+    rest = _rest_pairs(members, components(links), seqs, least).join(tried, ["a", "b"], "left_anti")
+    links = links.union(materialise(_verified(materialise(rest, "pairs"), seqs, least), "verified"))
     roots = components(links)
 
     degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count("*").alias("n_links"))

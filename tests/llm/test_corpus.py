@@ -143,6 +143,22 @@ def test_near_duplicates_by_brute_force(spark):
     assert set(kept) == {top(i) for i in ids}
 
 
+def test_near_copies_in_a_crowded_group_meet(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for family in range(60):
+        at = rng.randrange(170)
+        kind = base[:at] + [f"f{family}x{k}" for k in range(25)] + base[at + 25 :]
+        texts += [" ".join(kind), " ".join(edited(rng, kind, 3))]
+    found = near_dedup.near_duplicates(documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]))
+    classes = {r["doc_id"]: r["class_id"] for r in found.collect()}
+    seqs = [near_dedup.kmers(near_dedup.word_numbers(t.encode())) for t in texts]
+    links = [(a, b) for b in range(len(texts)) for a in range(b) if near_dedup.similarity(seqs[a], seqs[b]) > 0]
+    assert len(links) >= 60 and len(set(classes.values())) > 10
+    assert all(classes[a] == classes[b] for a, b in links)
+
+
 def test_alignment_similarity():
     seq = lambda t: near_dedup.kmers(near_dedup.word_numbers(t.encode()))
     assert near_dedup.similarity(seq(PROSE), seq(PROSE.upper())) == 1.0
