@@ -3,9 +3,9 @@
 Notices of well-known licences are the templates. Their words, without function words, make the
 licence vocabulary; the index lists the templates and places of each. One reading of the texts
 finds the places of vocabulary words and of the key phrases. Document frequencies over all texts
-give each word its IDF. A file's rare licence words (IDF of ``LEAST_IDF`` or more) are looked up;
-each occurrence votes for (template, place of the file minus place of the template), and votes
-are counted per file, template and offset. A candidate with ``LEAST_SHARE`` of its template's rare
+give each word its IDF, ln(1 + files / files with the word), which is above 0 however common a word is.
+A file's licence words are looked up; each occurrence votes for (template, place of the file minus place of the template), and votes
+are counted per file, template and offset. A candidate with ``LEAST_SHARE`` of its template's
 IDF at one offset is accepted if the template's mandatory phrase stands inside it.
 
 Votes are rows of (file, template, offset), so a text of thousands of notices is summed by
@@ -52,7 +52,6 @@ BASE_PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rig
 FUNCTION_WORDS = frozenset(
     "all and any are as be by for free from in is it may no not of on or terms that the this to under use with without you version work form code person following met file copy".split()
 )
-LEAST_IDF = 1.0
 LEAST_SHARE = 0.7
 LEAST_VOTES = 2
 
@@ -134,8 +133,8 @@ def scan(docs: DataFrame) -> DataFrame:
     seen = files.where(F.size("hits") > 0).select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word"))
     frequency = seen.groupBy("word").agg(F.count("*").alias("df"))
     index = spark.createDataFrame(index_rows(), "template int, label string, word string, place int")
-    idf = F.ln(F.lit(total + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
-    index = index.join(F.broadcast(frequency), "word", "left").withColumn("idf", idf).where(F.col("idf") >= LEAST_IDF).drop("df")
+    idf = F.log1p(F.lit(total + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
+    index = index.join(F.broadcast(frequency), "word", "left").withColumn("idf", idf).drop("df")
     whole = index.groupBy("template").agg(F.sum("idf").alias("all_idf"))
     index = F.broadcast(materialise(index.join(whole, "template"), "licence-index"))
 

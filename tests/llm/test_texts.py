@@ -189,3 +189,12 @@ def test_licences(spark, tmp_path):
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert q.op7_license_scan(spark, folder(spark, tmp_path / "e", documents=documents(spark, []))).collect() == []
+
+
+def test_licence_in_every_file(spark):
+    notices = ["This is licensed under the MIT license.", "Licensed under the Apache License, Version 2.0."]
+    texts = [f"file {k} {notices[k % 2]}" for k in range(12)]
+    found = license_scan.scan(documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == {k: ["mit", "apache-2.0"][k % 2] for k in range(12)}
+    alone = license_scan.scan(documents(spark, [(1, notices[0], "en", "a", 1)] * 2)).collect()
+    assert [r["labels"] for r in alone] == ["mit", "mit"]
