@@ -198,3 +198,12 @@ def test_licence_in_every_file(spark):
     assert {r["doc_id"]: r["labels"] for r in found} == {k: ["mit", "apache-2.0"][k % 2] for k in range(12)}
     alone = license_scan.scan(documents(spark, [(1, notices[0], "en", "a", 1)] * 2)).collect()
     assert [r["labels"] for r in alone] == ["mit", "mit"]
+
+
+def test_mined_rules_do_not_repeat_the_fixed_ones(spark):
+    urls = [f"http://s{k % 9}.net/{['es', 'fr'][k % 2]}/{['ads', 'x'][k % 4 == 0]}" for k in range(40)]
+    urls += [f"http://s{k % 9}.com/it/x" for k in range(40)]
+    others = {"http://s1.net/de/x": "allow", "http://a.org/en/x": "allow", "http://a.org/de/ads": "block"}
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, *others])], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert [found[len(urls) + k] for k in range(len(others))] == list(others.values())
