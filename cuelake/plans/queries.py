@@ -115,6 +115,24 @@ def hallucination_filter(spark, sf_dir):
     return said.select("doc_id", *(text.is_hallucination(F.col("said"), m).alias(f"by_{m}") for m in modes))
 
 
+@query(
+    "hallucination_filter_lines",
+    rf"""
+WITH s AS (SELECT doc_id, generate_subscripts(p, 1) AS line, unnest(p) AS said FROM (SELECT doc_id, regexp_split_to_array(text, '\n') AS p FROM documents)),
+n AS (SELECT doc_id, line, said, {_strip('said')} AS bare,
+             lower(regexp_replace({_strip('said')}, '^[。.!！?？…・\-—~～]+|[。.!！?？…・\-—~～]+$', '', 'g')) AS plain FROM s)
+SELECT doc_id, line, bare = '' AS by_off, bare = '' OR plain IN ({_PLAIN}) AS by_conservative,
+       bare = '' OR plain IN ({_PLAIN}) OR {_INSIDE} OR (starts_with(bare, '(') AND ends_with(bare, ')'))
+       OR (starts_with(bare, '（') AND ends_with(bare, '）')) OR (starts_with(bare, '[') AND ends_with(bare, ']')) AS by_aggressive
+FROM n""",
+)
+def hallucination_filter_lines(spark, sf_dir):
+    """Every line of the whole texts."""
+    said = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "said"))
+    modes = ("off", "conservative", "aggressive")
+    return said.select("doc_id", (F.col("at") + 1).alias("line"), *(text.is_hallucination(F.col("said"), m).alias(f"by_{m}") for m in modes))
+
+
 @query(
     "join_words",
     f"""
@@ -266,8 +284,11 @@ SELECT d.path, d.key AS translation_identity, min(CASE WHEN o.path <> d.path THE
 FROM d LEFT JOIN (SELECT path, key FROM d WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0) o ON o.key = d.key GROUP BY ALL""",
 )
 def cache_lookup(spark, sf_dir):
+    return _cache_lookup(spark, sf_dir, F.sha2(F.substring("text", 1, 12), 256))
+
+
+def _cache_lookup(spark, sf_dir, key):
     docs = table(spark, sf_dir, "documents")
-    key = F.sha2(F.substring("text", 1, 12), 256)
     outputs = docs.select(
         F.col("doc_id").cast("string").alias("path"),
         key.alias("translation_identity"),
@@ -278,6 +299,17 @@ def cache_lookup(spark, sf_dir):
     return manifest.cache_lookup(outputs.select("path", "translation_identity"), outputs)
 
 
+@query(
+    "cache_lookup_texts",
+    """WITH d AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS key, doc_id FROM documents)
+SELECT d.path, d.key AS translation_identity, min(CASE WHEN o.path <> d.path THEN o.path END) AS cached_path
+FROM d LEFT JOIN (SELECT path, key FROM d WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0) o ON o.key = d.key GROUP BY ALL""",
+)
+def cache_lookup_texts(spark, sf_dir):
+    """Identities of whole texts: the exact copies give the hits."""
+    return _cache_lookup(spark, sf_dir, F.sha2("text", 256))
+
+
 @query(
     "identity_hash",
     """SELECT doc_id, sha256('{"language":' || coalesce(to_json(lang)::VARCHAR, 'null') || ',"source":' || to_json(source)::VARCHAR || ',"source_sha256":"' || sha256(text) || '"}') AS identity,

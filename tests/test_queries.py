@@ -36,3 +36,13 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_texts_are_filtered_and_looked_up(spark, tmp_path):
+    early, late = "x" * 60, "x" * 60 + "\nThank you for watching!"
+    docs = spark.createDataFrame([(2, early), (4, late), (7, late)], "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = QUERIES["hallucination_filter_lines"](spark, f"file://{tmp_path}").where("by_conservative").select("doc_id", "line")
+    assert sorted(map(tuple, found.collect())) == [(4, 2), (7, 2)]
+    cached = QUERIES["cache_lookup_texts"](spark, f"file://{tmp_path}").collect()
+    assert {r["path"]: r["cached_path"] for r in cached} == {"2": None, "4": None, "7": "4"}
