@@ -7,11 +7,12 @@ one stream of tokens, which is cut every ``SEQUENCE`` tokens.
 
 Texts are tokenised once: ids go as two or four bytes each into a table in the shared folder, are
 range-partitioned once by curve place, and become pieces there. Where a run starts in the stream
-follows from the sums of token counts of the runs before it, so only those sums meet on the driver
-(at most ``MOST_RUNS``). A hot group of equal texts is split by the row bits of the key.
+follows from the sums of token counts of the runs before it, so only those sums meet on the driver:
+two numbers for every ``RUN_TOKENS`` tokens, and no more than ``CUT_SAMPLE`` runs, which at 25 T
+tokens hold 25 million each. A hot group of equal texts is split by the row bits of the key.
 
-Defined results: a null text is empty, and an empty one is its end id alone; repeated rows are
-documents of their own; an empty table gives an empty result; other columns are ignored. Only the
+Defined results: a null text is empty, and an empty one is its end id alone; the string of a
+special token in a text is that token's id; repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored. Only the
 last sequence of all can be shorter than ``SEQUENCE``, so there is no other padding.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -39,8 +41,8 @@ DIMENSIONS = 3
 BITS = 10
 #: Bits of the row hash below the curve place; 30 + 20 bits are exact as a double.
 TIE_BITS = 20
+#: Tokens of a run, which one task sorts. Their number follows the data, so a run's size doesn't.
 RUN_TOKENS = 4_000_000
-MOST_RUNS = 65_536
 #: Keys looked at for the cuts between runs. They set how even runs are, not what is in them.
 CUT_SAMPLE = 1_000_000
 SEED = 8
@@ -51,25 +53,31 @@ def encoder(vocabulary: str):
     """The byte-level BPE of a ``.tiktoken`` ranks file, or of a ``.json`` tokenizer file.
 
     A ``.json`` file with a ``.tiktoken`` file of the same name beside it is read from the latter:
-    the same vocabulary and ids, several times faster.
+    the same vocabulary and ids, several times faster. The file's added tokens keep their own ids
+    where their strings stand in a text, as in ``Tokenizer.from_file(...).encode(text, add_special_tokens=False)``.
     """
     import os
 
     ranks = vocabulary.removesuffix(".json") + ".tiktoken"
-    if not vocabulary.endswith(".tiktoken") and not os.path.exists(ranks):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    added: dict[str, int] = {}
+    if not vocabulary.endswith(".tiktoken"):
+        with open(vocabulary, "rb") as file:
+            marks = json.load(file).get("added_tokens", [])
+        added = {m["content"]: m["id"] for m in marks}
+        # The ranks' library knows only marks that stand as they are, without words or spaces around them.
+        plain = not any(m.get(k) for m in marks for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if not (plain and os.path.exists(ranks)):
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(vocabulary)
+            return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     import public_tokenizers
     import tiktoken
 
     with open(vocabulary if vocabulary.endswith(".tiktoken") else ranks, "rb") as lines:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(
-        "corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}
-    ).encode_ordinary
+    encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all") if any(m in text for m in added) else encoding.encode_ordinary(text)
 
 
 def default_vocabulary() -> str:
@@ -188,7 +196,7 @@ def pack(
     deviations = [max(v or 0.0, 1e-6) for v in total[3::2]]
     keyed = tokens.withColumn("key", _curve_key(means, deviations)(*axes, "tie"))
 
-    runs = min(MOST_RUNS, max(1, math.ceil(n_tokens / run_tokens)))
+    runs = max(1, math.ceil(n_tokens / run_tokens))
     cuts: list[float] = []
     if runs > 1:
         # Long texts lie together on the curve, so runs are cut by tokens, not rows.

@@ -59,15 +59,19 @@ def test_fast_and_slow_tokenizer_agree():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.default_vocabulary())
-    slow.encode_special_tokens = True
     fast = packing.encoder(packing.default_vocabulary())
     texts = [r[1] for r in odd_rows() if r[1]] + ["<|endoftext|> it's  a\n\n test\t 字 \u00a0 x", "\ud7ff\U0001f600 ' 's"]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>  y\n<|endoftext", "<|endoftext|>" * 300, "<|EndOfText|>"]
+    assert list(fast(texts[-5])) == [50256]
     for text in texts:
         assert list(fast(text)) == slow.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(found, texts, sequence):
-    encode = packing.encoder(packing.default_vocabulary())
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.default_vocabulary())
+    encode = lambda text: slow.encode(text, add_special_tokens=False).ids
     wanted = Counter()
     for doc, text in texts:
         ids = [*encode(text or ""), packing.END_ID]
@@ -92,8 +96,9 @@ def check_packing(found, texts, sequence):
 
 
 def test_packing_round_trip(spark, tmp_path):
-    found = q.op8_packing(spark, folder(spark, tmp_path, documents=documents(spark))).collect()
-    check_packing(found, [r[:2] for r in odd_rows()], packing.SEQUENCE)
+    every = odd_rows() + [(40, "one <|endoftext|> two<|endoftext|>", "en", "a", 1)]
+    found = q.op8_packing(spark, folder(spark, tmp_path, documents=documents(spark, every))).collect()
+    check_packing(found, [r[:2] for r in every], packing.SEQUENCE)
     assert q.op8_packing(spark, folder(spark, tmp_path / "e", documents=documents(spark, []))).collect() == []
 
 
