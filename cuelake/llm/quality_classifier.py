@@ -24,14 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import LOWER, slices, texts_as_bytes
 
 SAMPLE_DOCS = 20_000
 THRESHOLD = 0.7
 STEPS = 600
-#: Bounds on the estimated prior: outside them the estimate says that sampling went wrong.
-PRIOR_RANGE = (0.3, 0.95)
 
 _CLASSES = {
     "upper": range(65, 91),
@@ -110,9 +109,8 @@ def _fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None,
             gradient = (p_good + u_bad) / 2
         else:
             bad_risk = -np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-12)).mean()
-            gradient = prior * p_good + (u_bad - prior * p_bad) * (1 if bad_risk >= 0 else -1)
-            if bad_risk < 0:
-                gradient = -(u_bad - prior * p_bad)
+            # A risk below 0 is fitted too closely: that step goes the other way, for the negative part alone.
+            gradient = prior * p_good + u_bad - prior * p_bad if bad_risk >= 0 else prior * p_bad - u_bad
         gradient = gradient + 1e-4 * np.append(w[:-1], 0)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -134,14 +132,15 @@ class QualityModel:
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int) -> float:
     """Share of positives among the unlabelled: g tells positives from unlabelled on one half; on the
-    other half, the share of unlabelled texts above the floor of g is divided by that of positives."""
+    other half, the share of unlabelled texts above the floor of g is divided by that of positives.
+    Where sampling takes that quotient beyond 1, all unlabelled texts look positive, and it is 1."""
     if min(len(positive), len(unlabelled)) < 2:
         return 0.5
     w = _fit_risk(positive[::2], unlabelled[::2], None, steps)
     p, u = _logistic(positive[1::2] @ w), _logistic(unlabelled[1::2] @ w)
     # Unlabelled positives score as trusted ones do, so few of them lie below the trusted ones' floor.
     floor = np.quantile(p, 0.02)
-    return float(np.clip((u >= floor).mean() / max(1e-9, (p >= floor).mean()), *PRIOR_RANGE))
+    return float(min(1.0, (u >= floor).mean() / max(1e-9, (p >= floor).mean())))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> QualityModel:
@@ -193,11 +192,11 @@ def predict(docs: DataFrame, model: QualityModel, *, carry: list[str] | None = N
     carry = docs.columns if carry is None else carry
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text"):
+            found = [features(t) for t in texts_as_bytes(batch.column("__text"))]
+            scores = held.value.score(np.array(found).reshape(-1, FEATURES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(scores, pa.float64())], names=[*carry, "__score"])
 
-        found = [features((t or "").encode()) for t in texts]
-        return pd.Series(held.value.score(np.array(found).reshape(-1, FEATURES)))
-
-    return docs.select(*carry, score(F.col("text")).alias("__score"))
+    schema = StructType([*(docs.schema[c] for c in carry), StructField("__score", DoubleType())])
+    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)

@@ -95,6 +95,36 @@ def test_prior_and_risk_on_a_known_mixture():
     assert (ones(good) @ w > 0).mean() > 0.95 and (ones(bad) @ w < 0).mean() > 0.95
 
 
+@pytest.mark.parametrize("share", [0.05, 0.15, 0.98])
+def test_prior_has_no_bounds_of_its_own(share):
+    rng = np.random.default_rng(4)
+    n = 8000
+    good, bad = rng.normal(2, 1, (int(n * share), 2)), rng.normal(-2.5, 1, (n - int(n * share), 2))
+    ones = lambda x: np.hstack([x, np.ones((len(x), 1))])
+    prior = quality_classifier.estimate_prior(ones(rng.normal(2, 1, (4000, 2))), ones(rng.permutation(np.vstack([good, bad]))), 300)
+    assert abs(prior - share) < 0.03
+
+
+def plain_scores(model, texts):
+    """The logistic score of each text, a sum at a time."""
+    out = []
+    for text in texts:
+        z = model.weights[-1]
+        for value, mean, scale, weight in zip(quality_classifier.features((text or "").encode()), model.mean, model.scale, model.weights, strict=False):
+            z += weight * min(6.0, max(-6.0, (value - mean) / scale))
+        out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_quality_scores_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", q.held_out(F.col("doc_id"), 4, 2))
+    model = quality_classifier.fit(docs.where(~F.col("held_out")), spark.read.parquet(f"{SF}/labels.parquet"))
+    every = documents(spark).select("doc_id", "text").union(docs.select("doc_id", "text"))
+    found = quality_classifier.predict(every, model, carry=["doc_id", "text"]).collect()
+    assert len(found) == docs.count() + len(odd_rows())
+    assert np.allclose([r["__score"] for r in found], plain_scores(model, [r["text"] for r in found]))
+
+
 def plain_base(rows):
     train = [r for r in rows if not fold(r[0], 10, 0)]
     counts = Counter(w for r in train for w in spaced_words((r[1] or "").translate(UPPER)))
