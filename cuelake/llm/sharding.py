@@ -1,14 +1,15 @@
 """Sharding by proportional stratified interleaving, in DataFrame functions only.
 
-Rows are shuffled by a seeded hash and ranked within their source; the rank r of n gives the
+Rows are shuffled by a seeded hash of their id and their place in the table and ranked within their source; the rank r of n gives the
 fraction (r + 0.5) / n. Sorted by that fraction, the sources interleave in proportion, so cutting
 the order into equal runs gives every shard the mixture of the whole to within a row a source.
 
 No window spans a source or the table. The hash falls evenly into buckets; a row's rank is the
 number of rows in lower buckets (sums of counts) plus its place within its own (source, bucket).
 Fractions are spread evenly by construction, so the global order is numbered the same way. A
-source with a third of all rows therefore takes as many tasks as its rows deserve, and only ids,
-sizes and hashes are shuffled, never texts.
+source with a third of all rows therefore takes as many tasks as its rows deserve, as does an id
+with a third of all rows (null, say), since the place parts equal ids; only ids, sizes and hashes
+are shuffled, never texts.
 
 Defined results: a null text has size 1 and the CRC of the empty text; null sources form one
 stratum; repeated rows are rows of their own; an empty table gives an empty result; other columns
@@ -30,15 +31,16 @@ BUCKETS = 4096
 
 
 def shuffle_hash(seed: int):
-    """60 bits of md5 over seed and id: even, the same in every engine."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """60 bits of md5 over seed, id and place (``at``): even, the same in every engine."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("at").cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def stratified_shards(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, size, text_crc32, fraction, position, shard and slot of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    # The place is stored with the hash, so every later step sees the same.
+    rows = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("at")).select(
         "doc_id",
         "source",
         (F.octet_length(text) + 1).cast("long").alias("size"),

@@ -28,7 +28,8 @@ def test_shards_keep_counts_and_mixture(spark, shards, buckets):
     mixture = found.groupby(["source", "shard"]).size().unstack(fill_value=0)
     assert (mixture.max(axis=1) - mixture.min(axis=1)).max() <= 2
     # Brute force: rank within the source by hash, then order all rows by fraction.
-    hashed = docs.select("doc_id", sharding.shuffle_hash(sharding.SEED).alias("h")).toPandas().set_index("doc_id").h
+    placed = docs.withColumn("at", F.monotonically_increasing_id())
+    hashed = placed.select("doc_id", sharding.shuffle_hash(sharding.SEED).alias("h")).toPandas().set_index("doc_id").h
     order = defaultdict(list)
     for r in found.itertuples():
         order[r.source].append((hashed[r.doc_id], r.doc_id))
@@ -47,6 +48,11 @@ def test_shards_of_odd_rows(spark, tmp_path):
     assert q.op6_sharding(spark, folder(spark, tmp_path / "e", documents=documents(spark, []))).collect() == []
 
 
+def test_one_id_is_spread_over_hashes(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("at"))
+    assert rows.select(sharding.shuffle_hash(sharding.SEED)).distinct().count() == 3000
+
+
 def test_curve_visits_every_cell_once_by_steps_of_one():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     place = packing.hilbert_place(cells, 3)
