@@ -138,23 +138,56 @@ def test_urls_by_brute_force(spark, tmp_path):
         assert len(q.op5_url_filter(spark, folder(spark, tmp_path / str(len(rest)), pages=few)).collect()) == len(rest)
 
 
-def test_mined_rules_match_by_brute_force(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
+def mined(spark, pages):
+    """labelled rows, other rows (tokens, items, verdict), items and rules of urls."""
     host, path = url_filter.split_url(pages["url"])
     rule, verdict = url_filter.fixed_rule(host, path)
-    urls = pages.select(pages["page_id"].alias("row"), url_filter.url_tokens(pages["url"], host, path).alias("tokens"), rule.alias("rule"), verdict.alias("verdict")).cache()
-    mined = url_filter.mine(urls.where("rule is not null").select("tokens", "verdict"))
-    rules = [(set(r["tokens"]), r["confidence"]) for r in mined.collect()]
-    labelled = [(set(r["tokens"]), r["verdict"]) for r in urls.where("rule is not null").collect()]
-    assert rules
-    for tokens, sure in rules:
-        said = [v for t, v in labelled if tokens <= t]
+    urls = pages.select(pages["page_id"].alias("row"), url_filter.url_tokens(pages["url"], host, path).alias("tokens"), rule.alias("rule"), verdict.alias("verdict"))
+    labelled = urls.where("rule is not null")
+    items = url_filter.items_of(labelled, url_filter.SUPPORT)
+    placed = urls.join(url_filter.with_items(urls, items), "row", "left").cache()
+    baskets = placed.where("rule is not null and items is not null").select("row", "items", "verdict")
+    return placed.where("rule is not null").collect(), placed.where("rule is null"), items, url_filter.mine(baskets)
+
+
+def test_mined_rules_match_by_brute_force(spark):
+    labelled, others, _, rules = mined(spark, spark.read.parquet(f"{SF}/pages.parquet"))
+    found = [(set(r["tokens"]), r["confidence"]) for r in rules.collect()]
+    seen = [(set(r["items"] or ()), r["verdict"]) for r in labelled]
+    assert found
+    for tokens, sure in found:
+        said = [v for t, v in seen if tokens <= t]
         assert said.count("block") / len(said) == pytest.approx(sure) and sure >= url_filter.CONFIDENCE
-        assert said.count("block") >= url_filter.SUPPORT * len(labelled)
-        assert not any(t < tokens and s >= sure for t, s in rules)
-    others = urls.where("rule is null").collect()
-    wanted = {r["row"]: max(s for t, s in rules if t <= set(r["tokens"])) for r in others if any(t <= set(r["tokens"]) for t, _ in rules)}
-    assert {r["row"]: r["sure"] for r in url_filter.matches(urls.where("rule is null"), mined).collect()} == wanted
+        assert said.count("block") >= url_filter.SUPPORT * len(seen)
+        assert len(tokens) <= url_filter.LONGEST and not any(t < tokens and s >= sure for t, s in found)
+    wanted = {r["row"]: max(s for t, s in found if t <= set(r["items"] or ())) for r in others.collect() if any(t <= set(r["items"] or ()) for t, _ in found)}
+    urls = others.where("items is not null").select("row", others["items"].alias("tokens"))
+    assert {r["row"]: r["sure"] for r in url_filter.matches(urls, rules).collect()} == wanted
+
+
+def test_deep_urls_and_templates_of_many_parameters(spark):
+    many = "&".join(f"p{k}=1" for k in range(30))
+    urls = [f"http://s{k}.a.b.c.d.net/es/x/y/{'bad' if k % 3 else 'z'}/q{k}?{many}" for k in range(300)]
+    urls += [f"http://s{k}.a.b.c.d.com/es/x/y/z/{k}?{many if k % 2 else 'r=2'}" for k in range(300)]
+    others = {"http://a.org/u/x/y/bad": "block", "http://a.org/es/x/y/bad/": "block", "http://a.org/": "allow"}
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, *others])], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert [found[len(urls) + k] for k in range(len(others))] == list(others.values())
+    labelled, _, items, _ = mined(spark, pages)
+    same = [r["token"] for r in items.collect() if r["item"] == "query:p0"]
+    assert sorted(same) == sorted(f"query:p{k}" for k in range(30))
+
+
+def test_rule_beaten_by_one_two_tokens_shorter_goes(spark):
+    baskets = [(["a", "b", "c"], "block")] * 6 + [(["a"], "block")] * 6 + [(["a", "b"], "allow")] * 5 + [(["a", "c"], "allow")] * 5 + [(["b"], "allow")] * 10
+    baskets = [(k, t, v) for k, (t, v) in enumerate(baskets)]
+    rules = url_filter.mine(spark.createDataFrame(baskets, "row long, items array<string>, verdict string"), support=0.05, confidence=0.5)
+    found = {tuple(r["tokens"]): round(r["confidence"], 3) for r in rules.collect()}
+    seen = [(set(t), v) for _, t, v in baskets]
+    sure = lambda t: [v for s, v in seen if set(t) <= s].count("block") / max(1, sum(set(t) <= s for s, _ in seen))
+    every = [("a",), ("b",), ("c",), ("a", "b"), ("a", "c"), ("b", "c"), ("a", "b", "c")]
+    wanted = {t: round(sure(t), 3) for t in every if sure(t) >= 0.5 and not any(set(o) < set(t) and sure(o) >= max(0.5, sure(t)) for o in every)}
+    assert found == wanted
 
 
 def plain_licence(text):
