@@ -12,8 +12,8 @@ text with no shuffle. Words met before are looked up in a bounded table of each
 
 Defined results: ``und`` and score 0 where the text is null or has no letter, or no language could
 be learned; repeated rows and ties are each scored alone (equal likelihoods: the alphabetically
-first language); runs of more than ``RUN`` letters count as runs of ``RUN`` one after another;
-other columns of the input are ignored.
+first language); runs of letters are of any length (long ones are summed in blocks, the forward state
+carried over and rescaled); other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ from .common import materialise, slices
 #: Labelled texts a language that a fit may use.
 SAMPLE_DOCS = 1500
 ROUNDS = 3
-#: Longest piece and longest run of letters, in characters.
-PIECE = 8
-RUN = 32
+#: Letters up to which whole runs are summed at once; longer ones go by blocks of this many.
+BLOCK = 64
+#: Numbers in the tables of one forward pass: words of one length are taken so many at a time.
+TABLE = 1 << 22
 #: Words a task remembers; beyond that it starts afresh.
 REMEMBERED = 400_000
 #: The model, a table of pieces by languages, is held to this many languages.
@@ -58,15 +59,12 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(k).replace("▁", "").lower() for k in range(model.get_piece_size())}
-    return sorted(p for p in pieces if p.isalpha() and len(p) <= PIECE)
+    return sorted(p for p in pieces if p.isalpha())
 
 
 def letter_runs(text: str) -> list[str]:
-    """Runs of letters of the lower-cased text, cut at ``RUN`` letters."""
-    runs = RUNS.findall(text.lower())
-    if max(map(len, runs), default=0) > RUN:
-        runs = [r[at : at + RUN] for r in runs for at in range(0, len(r), RUN)]
-    return runs
+    """Runs of letters of the lower-cased text."""
+    return RUNS.findall(text.lower())
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,6 +81,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
         hashes = [int(self._prefixes([p])[0, -1]) for p in pieces]
         rng = np.random.default_rng(1)
         while True:
@@ -115,9 +114,9 @@ class Pieces:
         """Piece numbers by (end, length - 1, word) for words of one length; -1 where there is none."""
         size = len(words[0])
         prefixes = self._prefixes(words).T.copy()
-        out = np.full((size + 1, PIECE, len(words)), -1, np.int32)
+        out = np.full((size + 1, self.longest, len(words)), -1, np.int32)
         power = np.ones(1, np.uint64)
-        for length in range(1, min(PIECE, size) + 1):
+        for length in range(1, min(self.longest, size) + 1):
             power = power * _BASE
             h = prefixes[length:] - prefixes[:-length] * power
             found = np.full(h.shape, -1, np.int32)
@@ -130,24 +129,24 @@ class Pieces:
         return out
 
 
-def same_length(words: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Words of one length at a time, with their places."""
+def same_length(words: list[str], width: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words of one length at a time, with their places; ``width`` numbers are needed a letter."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
-        for at in range(0, len(group), most):
-            some = group[at : at + most]
-            if len(some) and sizes[some[0]]:
+        if len(group) and sizes[group[0]]:
+            most = max(1, TABLE // (width * min(BLOCK, int(sizes[group[0]]))))
+            for at in range(0, len(group), most):
+                some = group[at : at + most]
                 yield some, [words[k] for k in some.tolist()]
 
 
-def forward(lattice: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """Sums over segmentations of all beginnings: (end, word, language). The last row of ``chances`` is zero."""
-    ends, _, n = lattice.shape
-    alpha = np.zeros((ends, n, chances.shape[1]))
-    alpha[0] = 1
-    for end in range(1, ends):
-        for length in range(1, min(PIECE, end) + 1):
+def forward(lattice: np.ndarray, chances: np.ndarray, alpha: np.ndarray, begin: int = 1) -> np.ndarray:
+    """Sums over segmentations of all beginnings, ``alpha`` (end, word, language), filled from ``begin`` on.
+    The last row of ``chances`` is zero."""
+    ends, longest, n = lattice.shape
+    for end in range(begin, ends):
+        for length in range(1, min(longest, end) + 1):
             number = lattice[end, length - 1]
             # Long pieces are rare: most words have none at most places.
             there = np.flatnonzero(number >= 0)
@@ -158,12 +157,47 @@ def forward(lattice: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _whole(lattice: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    ends, _, n = lattice.shape
+    alpha = np.zeros((ends, n, chances.shape[1]))
+    alpha[0] = 1
+    return forward(lattice, chances, alpha)
+
+
+def _blocks(word: str, pieces: Pieces, chances: np.ndarray) -> Iterator[tuple]:
+    """For a long word, block by block: its lattice, the scaled sums of beginnings, and the log of their scale by language.
+
+    A block starts with the ``longest`` places before it, as pieces may begin there.
+    """
+    lead, size = pieces.longest, len(word)
+    before, scale = np.zeros((1, 1, chances.shape[1])), np.zeros(chances.shape[1])
+    before[0] = 1
+    at = 0
+    while at < size:
+        held = before.shape[0] - 1
+        end = min(size, at + BLOCK)
+        lattice = pieces.lattice([word[at - held : end]])
+        alpha = np.zeros((end - at + held + 1, 1, chances.shape[1]))
+        alpha[: held + 1] = before
+        forward(lattice, chances, alpha, held + 1)
+        yield at, held, lattice, alpha, scale.copy()
+        before = alpha[-min(lead, end) - 1 :]
+        most = np.maximum(before.max(axis=(0, 1)), 1e-300)
+        before, scale, at = before / most, scale + np.log(most), end
+
+
 def word_scores(words: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """Log probabilities (word, language)."""
     out = np.zeros((len(words), chances.shape[1]))
     padded = np.vstack([chances, np.zeros(chances.shape[1])])
-    for places, some in same_length(words):
-        out[places] = np.log(np.maximum(forward(pieces.lattice(some), padded)[-1], 1e-300))
+    for places, some in same_length(words, pieces.longest + chances.shape[1]):
+        if len(some[0]) <= BLOCK:
+            out[places] = np.log(np.maximum(_whole(pieces.lattice(some), padded)[-1], 1e-300))
+            continue
+        for place, word in zip(places.tolist(), some, strict=True):
+            for *_, alpha, scale in _blocks(word, pieces, padded):
+                last = alpha[-1, 0]
+            out[place] = np.log(np.maximum(last, 1e-300)) + scale
     return out
 
 
@@ -171,21 +205,38 @@ def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, chance
     """Expected uses (piece) of one language's pieces over counted words, by forward and backward sums."""
     uses = np.zeros(pieces.size)
     padded = np.append(chances, 0.0)
-    for places, some in same_length(words):
-        lattice = pieces.lattice(some)
-        alpha = forward(lattice, padded[:, None])[:, :, 0]
-        ends, _, n = lattice.shape
-        beta = np.zeros((ends, n))
-        beta[-1] = 1
-        weight = counts[places] / np.maximum(alpha[-1], 1e-300)
-        for end in range(ends - 1, 0, -1):
-            for length in range(1, min(PIECE, end) + 1):
+
+    def back(lattice, alpha, beta, weight, first):
+        """Adds the uses that end after ``first`` and takes ``beta`` down to 0."""
+        for end in range(len(lattice) - 1, first, -1):
+            for length in range(1, min(pieces.longest, end) + 1):
                 number = lattice[end, length - 1]
-                passed = padded[number] * beta[end]
-                used = alpha[end - length] * passed * weight
-                there = number >= 0
-                uses += np.bincount(number[there], weights=used[there], minlength=len(uses))
-                beta[end - length] += passed
+                there = np.flatnonzero(number >= 0)
+                if len(there):
+                    passed = padded[number[there]] * beta[end, there]
+                    np.add.at(uses, number[there], alpha[end - length, there] * passed * weight[there])
+                    beta[end - length, there] += passed
+
+    for places, some in same_length(words, pieces.longest + 2):
+        if len(some[0]) <= BLOCK:
+            lattice = pieces.lattice(some)
+            alpha = _whole(lattice, padded[:, None])[:, :, 0]
+            beta = np.zeros(alpha.shape)
+            beta[-1] = 1
+            back(lattice, alpha, beta, counts[places] / np.maximum(alpha[-1], 1e-300), 0)
+            continue
+        for place, word in zip(places.tolist(), some, strict=True):
+            # Each block's sums are held under a scale of its own; those of endings follow it from block to block.
+            steps = list(_blocks(word, pieces, padded[:, None]))
+            total = np.maximum(steps[-1][3][-1, 0, 0], 1e-300)
+            later, logs = np.ones((1, 1)), -np.log(total) - steps[-1][4][0]
+            for _, held, lattice, alpha, scale in reversed(steps):
+                beta = np.zeros(alpha.shape[:2])
+                beta[-len(later) :] = later
+                back(lattice, alpha[:, :, 0], beta, counts[[place]] * np.exp(logs + scale[0]), held)
+                later = beta[: held + 1]
+                most = max(later.max(), 1e-300)
+                later, logs = later / most, logs + np.log(most)
     return uses
 
 

@@ -15,30 +15,50 @@ from .helpers import UPPER, documents, fold, folder, odd_rows, spaced_words
 SF = "/root/testdata/sf0.001"
 
 
-def test_forward_sum_is_the_sum_over_segmentations():
+@pytest.mark.parametrize("block", [64, 5, 4])
+def test_forward_sum_is_the_sum_over_segmentations(monkeypatch, block):
+    monkeypatch.setattr(lang_id, "BLOCK", block)
     names = ["a", "ab", "b", "ba", "abab"]
     pieces = lang_id.Pieces(names)
     chances = np.random.default_rng(0).random((len(names) + 1, 3))
 
     def over_all(word):
+        """Sums over segmentations of the word, and over uses of each piece in them."""
+        total, uses = np.zeros(3), np.zeros((len(names) + 1, 3))
         if not word:
-            return np.ones(3)
-        total = np.zeros(3)
-        for size in range(1, min(len(word), lang_id.PIECE) + 1):
+            return np.ones(3), uses
+        for size in range(1, len(word) + 1):
             k = names.index(word[:size]) if word[:size] in names else len(names) if size == 1 else -1
             if k >= 0:
-                total = total + chances[k] * over_all(word[size:])
-        return total
-
-    words = ["a", "ab", "abab", "xabba", "ababababab", "zz", "b"]
-    assert np.allclose(lang_id.word_scores(words, pieces, chances), np.log([over_all(w) for w in words]))
-    counts = np.array([2.0, 1, 3, 1, 1, 1, 4])
+                rest, more = over_all(word[size:])
+                total += chances[k] * rest
+                uses += chances[k] * more
+                uses[k] += chances[k] * rest
+        return total, uses
+
+    words = ["a", "ab", "abab", "xabba", "ababababab", "zz", "b", "abbababbxaba", "bababababababb"]
+    assert np.allclose(lang_id.word_scores(words, pieces, chances), np.log([over_all(w)[0] for w in words]))
+    counts = np.array([2.0, 1, 3, 1, 1, 1, 4, 2, 5])
     uses = lang_id.expected_counts(words, counts, pieces, chances[:, 0])
+    assert np.allclose(uses, sum(n * over_all(w)[1][:, 0] / over_all(w)[0][0] for w, n in zip(words, counts, strict=True)))
     # Expected uses weighted by length add up to the letters.
     lengths = np.array([*map(len, names), 1])
     assert math.isclose((uses * lengths).sum(), (counts * [len(w) for w in words]).sum())
 
 
+def test_runs_of_any_length_and_all_pieces_count():
+    names = lang_id.vocabulary_pieces(lang_id.default_vocabulary())
+    assert "absolutely" in names and "characteristics" in names
+    pieces = lang_id.Pieces(["aab", "a"])
+    chances = np.array([[0.3], [0.5], [0.1]])
+    # f(n) = 0.5 f(n-1) in a's alone; each b ends an "aab" or stands alone.
+    long = ("a" * 7 + "b") * 4000
+    one = lang_id.word_scores(["aaaaaaab"], pieces, chances)[0, 0]
+    assert lang_id.word_scores([long], pieces, chances)[0, 0] == pytest.approx(4000 * one)
+    uses = lang_id.expected_counts([long], np.array([2.0]), pieces, chances[:, 0])
+    assert np.allclose(uses, 8000 * lang_id.expected_counts(["aaaaaaab"], np.array([1.0]), pieces, chances[:, 0]))
+
+
 def test_language_held_out(spark):
     found = q.op1_language_id(spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
@@ -48,6 +68,17 @@ def test_language_held_out(spark):
     assert found.score.between(0, 1).all()
     unseen = both[both.held_out]
     assert (unseen.lang == unseen.lang_pred).mean() > 0.97
+    # The query again by plain sums: of every text's words under the fitted chances, and the posterior of the best.
+    texts = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").withColumn("held_out", q.held_out(F.col("doc_id"), 4, 2))
+    model = lang_id.fit(texts.where(~F.col("held_out")))
+    pieces = lang_id.Pieces(model.pieces)
+    shown = found.set_index("doc_id")
+    for r in texts.limit(20).collect():
+        words = lang_id.letter_runs(r["text"])
+        totals = lang_id.word_scores(words, pieces, model.chances).sum(axis=0)
+        k = totals.argmax()
+        assert shown.lang_pred[r["doc_id"]] == model.languages[k]
+        assert shown.score[r["doc_id"]] == pytest.approx(1 / np.exp(totals - totals[k]).sum())
 
 
 def test_language_odd_rows(spark, tmp_path):
@@ -57,6 +88,7 @@ def test_language_odd_rows(spark, tmp_path):
     for k in (4, 5, 6, 7):
         assert (by_id[k]["lang_pred"], by_id[k]["score"]) == ("und", 0.0)
     assert by_id[8]["lang_pred"] in {"de", "en"} and by_id[None]["lang_pred"] in {"de", "en"}
+    assert by_id[11]["lang_pred"] in {"de", "en"} and 0.5 <= by_id[11]["score"] <= 1
     empty = q.op1_language_id(spark, folder(spark, tmp_path / "e", documents=documents(spark, [])))
     assert empty.collect() == []
 
