@@ -46,10 +46,13 @@ def cache_lookup(wanted: DataFrame, outputs: DataFrame) -> DataFrame:
     ``outputs`` has path, translation_identity, sha256, and of the file there now actual_sha256 and valid.
     """
     good = outputs.where(F.col("valid") & (F.col("sha256") == F.col("actual_sha256")))
-    good = good.select(F.col("path").alias("cached_path"), "translation_identity")
-    joined = wanted.join(good, "translation_identity", "left")
-    other = F.when(F.col("cached_path") != F.col("path"), F.col("cached_path"))
-    return joined.groupBy("path", "translation_identity").agg(F.min(other).alias("cached_path"))
+    # The two first paths of an identity do for every wanted path, so no identity's outputs meet all its wants.
+    first = good.groupBy("translation_identity").agg(F.min("path").alias("first"))
+    second = good.join(first, "translation_identity").where(F.col("path") != F.col("first"))
+    second = second.groupBy("translation_identity").agg(F.min("path").alias("second"))
+    held = first.join(second, "translation_identity", "left")
+    other = F.when(F.col("first") == F.col("path"), F.col("second")).otherwise(F.col("first"))
+    return wanted.select("path", "translation_identity").distinct().join(held, "translation_identity", "left").select("path", "translation_identity", other.alias("cached_path"))
 
 
 def due_stage(inputs: DataFrame) -> DataFrame:

@@ -46,4 +46,5 @@ def dispatch_gaps(jobs: DataFrame, lane: str, start: Column, end: Column, order:
 
 
 def percent_done(done: Column, total: Column) -> Column:
-    return F.floor(done * 100 / total).cast("int")
+    """Whole percents done; null of a total of 0."""
+    return F.floor(F.try_divide(done * 100, total)).cast("int")
