@@ -1,26 +1,30 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Each text gives a vector of transformed statistics. For every language and source the minimum
-covariance determinant is estimated: from medians and median deviations, concentration steps keep
+(regularised) covariance determinant is estimated. From three starts (medians with median
+deviations; mean and covariance; medians with the spatial sign covariance) concentration steps keep
 the ``SUBSET`` share of vectors nearest by Mahalanobis distance and re-estimate mean and covariance
-from them. A text is rejected if its squared distance under the final estimate exceeds ``CUT``; the
-estimate is first widened, never narrowed, until the median distance is that of a normal sample.
+from them, until no determinant falls any more; the start with the least determinant is kept. Its
+covariance is widened by the consistency factor of a normal sample cut at that share.
 
+* Estimates of small groups lean on their language's, and those on that of all: of n vectors, the
+  estimate counts n times and the wider one, pooled from the groups' kept vectors, ``LEAN`` times.
+  That is continuous in n; every group's own vectors count.
+* A text is rejected if its squared distance exceeds ``CUT``, the chi-square quantile ``QUANTILE``.
 * Equal vectors of a language and source count once in the fit, so that a much-copied text can't
   draw the estimate onto itself.
-* A variance floor a statistic (``FLOORS``) keeps the determinant from vanishing where most texts
-  agree exactly, as in having no symbols at all.
-* Groups of fewer than ``LEAST_GROUP`` vectors use the estimate of their language, or else of all.
+* The matrix ``FLOORS``, what a careful writer may vary by, is added to every covariance (the
+  regularisation), as most texts agree exactly in some statistics, such as having no symbols at all.
 * Text is read once; only vectors are kept and aggregated, with partial aggregates, so a source with a
   third of all rows is no one task's work. Estimates are a row a group; they are broadcast while
-  there are at most ``BROADCAST_GROUPS`` and joined by shuffle beyond that.
+  there are at most ``BROADCAST_GROUPS``. Beyond that they are joined by shuffle, where Spark splits hot keys.
 
 The repeat count compares windows of five words by 64-bit hashes of hashes; within a text of a
 million windows two different ones agree with a probability of 3e-8.
 
 Defined results: a null text has no words and fails the base rule, as does an empty one; null
-languages and sources are groups of their own; repeated rows get equal verdicts; an empty table
-gives an empty result; other columns are ignored.
+languages and sources are groups of their own; repeated rows get equal verdicts, and so do ties (a
+distance equal to the cut is kept); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +41,18 @@ WINDOW = 5
 
 DIMENSIONS = 6
 SUBSET = 0.75
-STEPS = 3
-LEAST_GROUP = 200
+#: Most concentration steps; determinants fall with each, and some ten do on all tables seen.
+STEPS = 20
+#: How many vectors the wider estimate counts for.
+LEAN = 30
 BROADCAST_GROUPS = 20_000
 #: Least standard deviations of the statistics, in order: what a careful writer may vary by.
 FLOORS = (0.12, 0.2, 0.15, 0.2, 0.1, 0.1)
-#: Squared distance beyond which a vector is an outlier: about the chi-square quantile of 1 - 5e-9 with 6 degrees; and their median.
-CUT = 50.0
-MEDIAN_D2 = 5.348
+#: Squared distance beyond which a vector is an outlier: the chi-square quantile of ``QUANTILE`` with 6 degrees.
+QUANTILE = 0.999
+CUT = 22.458
+#: SUBSET over the share of chi-square with 8 degrees below the SUBSET quantile (7.841) with 6: makes the covariance consistent.
+CONSISTENCY = 1.3615
 
 #: Ordinary words and lines that every text is thought to have besides its own, as short texts vary more.
 PRIOR_WORDS = 20
@@ -132,39 +140,26 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 _X = [f"__x{k}" for k in range(DIMENSIONS)]
-_KEY = ["__level", "__lang", "__source"]
+_KEY = ["__lang", "__source"]
 _PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+_MEANS = [f"m{k}" for k in range(DIMENSIONS)]
+_COVARIANCES = [f"c_{i}_{j}" for i, j in _PAIRS]
+_PRECISIONS = [f"p_{i}_{j}" for i, j in _PAIRS]
 
 
-def _levels(lang: Column, source: Column) -> Column:
-    """The groups a vector counts for: its language and source, its language, all."""
-    none = F.lit(None).cast("string")
-    return F.array(
-        *(
-            F.struct(F.lit(level).alias("__level"), a.alias("__lang"), b.alias("__source"))
-            for level, (a, b) in enumerate([(lang, source), (lang, none), (none, none)])
-        )
-    )
-
-
-def _same_group(left: DataFrame, right: DataFrame) -> Column:
-    return (
-        (left["__level"] == right["k_level"])
-        & left["__lang"].eqNullSafe(right["k_lang"])
-        & left["__source"].eqNullSafe(right["k_source"])
-    )
+def _attach(vectors: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    keyed = groups.withColumnsRenamed({c: c.replace("__", "k_") for c in _KEY})
+    on = vectors["__lang"].eqNullSafe(keyed["k_lang"]) & vectors["__source"].eqNullSafe(keyed["k_source"])
+    return vectors.join(F.broadcast(keyed) if few else keyed, on).drop("k_lang", "k_source")
 
 
-def _attach(vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    keyed = groups
-    for c in _KEY:
-        keyed = keyed.withColumnRenamed(c, c.replace("__", "k_"))
-    return vectors.join(keyed, _same_group(vectors, keyed)).drop("k_level", "k_lang", "k_source")
+def _middle(value: Column, share: float = 0.5) -> Column:
+    return F.percentile_approx(value, share, 2000)
 
 
-def _inverse(moments: DataFrame) -> DataFrame:
-    """Means m0.. and the precision matrix p_ij from means m0.. and covariances c_ij (i >= j), by Cholesky's
-    factor L and its inverse W: the precision is W'W. Every entry is a column of its own."""
+def _with_precision(moments: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, means, covariances c_ij (i >= j), the precision matrix p_ij of covariances with floors, and
+    their log determinant, by Cholesky's factor L and its inverse W: the precision is W'W."""
     d = DIMENSIONS
     out = moments
     for i in range(d):
@@ -183,7 +178,8 @@ def _inverse(moments: DataFrame) -> DataFrame:
     precision = [
         sum((F.col(f"w_{k}_{i}") * F.col(f"w_{k}_{j}") for k in range(i, d)), F.lit(0.0)).alias(f"p_{i}_{j}") for i, j in _PAIRS
     ]
-    return out.select(*_KEY, "n", *(f"m{k}" for k in range(d)), *precision)
+    log_det = sum((2 * F.ln(f"l_{i}_{i}") for i in range(d)), F.lit(0.0))
+    return out.select(*keep, *_MEANS, *_COVARIANCES, *precision, log_det.alias("log_det"))
 
 
 def _distance(m, p) -> Column:
@@ -192,56 +188,127 @@ def _distance(m, p) -> Column:
     return sum((z[i] * z[j] * p(i, j) * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
 
 
-def fit(stats: DataFrame) -> DataFrame:
-    """A row a group (level, lang, source): size n, means, precision matrix and scale. ``stats`` has lang, source and the vector."""
-    distinct = stats.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *_X).distinct()
-    vectors = distinct.select(F.explode(_levels(F.col("__lang"), F.col("__source"))).alias("g"), *_X)
-    vectors = materialise(vectors.select("g.*", *_X), "vectors")
-
-    # Start: distances by medians and median deviations.
-    medians = vectors.groupBy(*_KEY).agg(*(F.percentile_approx(x, 0.5).alias(f"m{k}") for k, x in enumerate(_X)))
-    deviations = _attach(vectors, medians).groupBy(*_KEY).agg(
+def _starts(vectors: DataFrame, few: bool) -> DataFrame:
+    """Three estimates a group: lang, source, start, n, means and covariances."""
+    d = range(DIMENSIONS)
+    medians = vectors.groupBy(*_KEY).agg(
         F.count("*").alias("n"),
-        *(F.first(f"m{k}").alias(f"m{k}") for k in range(DIMENSIONS)),
-        *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{k}")), 0.5).alias(f"s{k}") for k, x in enumerate(_X)),
+        *(_middle(F.col(x)).alias(f"q{k}") for k, x in enumerate(_X)),
+        *(F.avg(x).alias(f"a{k}") for k, x in enumerate(_X)),
+        *(F.covar_pop(_X[i], _X[j]).alias(f"v_{i}_{j}") for i, j in _PAIRS),
     )
-    start = deviations.select(
-        *_KEY,
-        "n",
-        *(f"m{k}" for k in range(DIMENSIONS)),
-        *(
-            (1 / (F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"p_{i}_{j}")
-            for i, j in _PAIRS
-        ),
+    medians = materialise(medians, "groups")
+    spread = _attach(vectors, medians.select(*_KEY, *(f"q{k}" for k in d)), few).groupBy(*_KEY).agg(
+        *(_middle(F.abs(F.col(x) - F.col(f"q{k}"))).alias(f"s{k}") for k, x in enumerate(_X))
     )
-    groups = materialise(start, "groups")
+    held = materialise(_attach(medians, spread, few), "groups")
+    # Deviations with floors, so that a statistic in which most agree doesn't swamp the others.
+    wide = [F.sqrt(F.pow(1.4826 * F.col(f"s{k}"), 2) + FLOORS[k] ** 2) for k in d]
+    scaled = _attach(vectors, held.select(*_KEY, *(f"q{k}" for k in d), *(w.alias(f"s{k}") for k, w in enumerate(wide))), few)
+    scaled = scaled.select(*_KEY, *((F.col(x) - F.col(f"q{k}")).alias(f"z{k}") for k, x in enumerate(_X)), *(f"s{k}" for k in d))
+    norm = sum((F.pow(F.col(f"z{k}") / F.col(f"s{k}"), 2) for k in d), F.lit(0.0))
+    signs = scaled.withColumn("norm", F.greatest(norm, F.lit(1e-12))).groupBy(*_KEY).agg(
+        *(F.avg(DIMENSIONS * F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).alias(f"g_{i}_{j}") for i, j in _PAIRS)
+    )
+    held = materialise(_attach(held, signs, few), "groups")
+    kinds = [
+        ("q", lambda i, j: F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)),
+        ("a", lambda i, j: F.col(f"v_{i}_{j}")),
+        ("q", lambda i, j: F.col(f"g_{i}_{j}")),
+    ]
+    each = [
+        F.struct(F.lit(number).alias("start"), *(F.col(f"{centre}{k}").alias(f"m{k}") for k in d), *(matrix(i, j).alias(f"c_{i}_{j}") for i, j in _PAIRS))
+        for number, (centre, matrix) in enumerate(kinds)
+    ]
+    return held.select(*_KEY, "n", F.inline(F.array(*each)))
+
+
+def _concentrated(vectors: DataFrame, few: bool) -> DataFrame:
+    """Of every group, the estimate of least determinant after concentration: lang, source, n, means and covariances."""
+    own = [*_KEY, "start", "n"]
+    groups = materialise(_with_precision(_starts(vectors, few), own), "groups")
     distance = _distance(lambda k: F.col(f"m{k}"), lambda i, j: F.col(f"p_{i}_{j}"))
-    for _ in range(STEPS):
-        measured = _attach(vectors, groups).select(*_KEY, *_X, "n", distance.alias("d2"))
-        edges = measured.groupBy(*_KEY).agg(F.percentile_approx("d2", SUBSET, 2000).alias("edge"))
-        edges = materialise(edges, "groups")
-        near = _attach(measured, edges).where("d2 <= edge")
-        moments = near.groupBy(*_KEY).agg(
-            F.first("n").alias("n"),
+    done, active = None, groups
+    for step in range(STEPS):
+        measured = _attach(vectors, active, few).select(*own, *_X, distance.alias("d2"))
+        edges = materialise(measured.groupBy(*_KEY, "start").agg(_middle(F.col("d2"), SUBSET).alias("edge")), "groups")
+        keyed = active.join(edges.withColumnsRenamed({c: c.replace("__", "e_") for c in _KEY} | {"start": "e_start"}),
+                            F.col("__lang").eqNullSafe(F.col("e_lang")) & F.col("__source").eqNullSafe(F.col("e_source")) & (F.col("start") == F.col("e_start")))
+        near = _attach(vectors, keyed.drop("e_lang", "e_source", "e_start"), few).select(*own, *_X, "log_det", "edge", distance.alias("d2")).where("d2 <= edge")
+        moments = near.groupBy(*own).agg(
+            F.first("log_det").alias("before"),
             *(F.avg(x).alias(f"m{k}") for k, x in enumerate(_X)),
-            *(F.covar_pop(_X[i], _X[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS),
+            *((CONSISTENCY * F.covar_pop(_X[i], _X[j])).alias(f"c_{i}_{j}") for i, j in _PAIRS),
         )
-        groups = materialise(_inverse(materialise(moments, "groups")), "groups")
-    middle = _attach(vectors, groups).groupBy(*_KEY).agg(F.percentile_approx(distance, 0.5, 2000).alias("middle"))
-    scale = F.greatest(F.col("middle") / MEDIAN_D2, F.lit(1.0))
-    return materialise(_attach(groups, middle).withColumn("scale", scale).drop("middle"), "groups")
+        moved = materialise(_with_precision(moments, [*own, "before"]), "groups")
+        # The starts' own matrices aren't of a subset, so their determinants say nothing yet.
+        settled = (F.col("log_det") > F.col("before") - 1e-9) if step else F.lit(False)
+        if step == STEPS - 1:
+            settled = F.lit(True)
+        ended = moved.where(settled).drop("before")
+        done = ended if done is None else done.unionByName(ended)
+        active = moved.where(~settled).drop("before")
+        if active.isEmpty():
+            break
+    best = done.groupBy(*_KEY).agg(F.min_by(F.struct("n", *_MEANS, *_COVARIANCES), F.struct("log_det", "start")).alias("best"))
+    return materialise(best.select(*_KEY, "best.*"), "groups")
+
+
+def _pooled(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of the groups' kept vectors taken together."""
+    n, d = F.col("n"), range(DIMENSIONS)
+    of = F.sum(n)
+    sums = groups.groupBy(*keys).agg(
+        of.alias("n"),
+        *((F.sum(n * F.col(f"m{k}")) / of).alias(f"m{k}") for k in d),
+        *((F.sum(n * (F.col(f"c_{i}_{j}") + F.col(f"m{i}") * F.col(f"m{j}"))) / of).alias(f"u_{i}_{j}") for i, j in _PAIRS),
+    )
+    return sums.select(*keys, "n", *_MEANS, *((F.col(f"u_{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c_{i}_{j}") for i, j in _PAIRS))
+
+
+def _leaning(groups: DataFrame, wider: DataFrame, keys: list[str], on: Column | None) -> DataFrame:
+    """``groups`` with means and covariances between their own, counted n times, and those of ``wider``, ``LEAN`` times."""
+    other = wider.select(*(F.col(c).alias(f"o_{c}") for c in wider.columns))
+    joined = groups.join(F.broadcast(other), on) if on is not None else groups.crossJoin(F.broadcast(other))
+    mixed = lambda c: ((F.col("n") * F.col(c) + LEAN * F.col(f"o_{c}")) / (F.col("n") + LEAN)).alias(c)
+    return joined.select(*keys, "n", *map(mixed, [*_MEANS, *_COVARIANCES]))
+
+
+def fit(stats: DataFrame) -> DataFrame:
+    """Estimates by level (0: language and source, 1: language, 2: all): lang, source, n, means and precision matrix.
+    ``stats`` has lang, source and the vector."""
+    distinct = stats.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *_X).distinct()
+    vectors = materialise(distinct, "vectors")
+    few = vectors.select(*_KEY).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    groups = _concentrated(vectors, few)
+    # Languages and the whole: pooled from groups, a row each.
+    everything = materialise(_pooled(groups, []).where("n is not null"), "groups")
+    tongues = _pooled(groups, ["__lang"])
+    tongues = materialise(_leaning(tongues, everything, ["__lang"], None), "groups")
+    leaned = _leaning(groups, tongues, _KEY, F.col("__lang").eqNullSafe(F.col("o___lang")))
+    none = F.lit(None).cast("string")
+    levels = [
+        leaned.withColumn("__level", F.lit(0)),
+        tongues.withColumns({"__source": none, "__level": F.lit(1)}),
+        everything.withColumns({"__lang": none, "__source": none, "__level": F.lit(2)}),
+    ]
+    united = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    return materialise(_with_precision(united, ["__level", *_KEY, "n"]), "groups")
 
 
 def judge(stats: DataFrame, groups: DataFrame) -> DataFrame:
-    """``stats`` with kept: false if the base rule fails or the vector is an outlier of its group."""
-    names = [f"m{k}" for k in range(DIMENSIONS)] + [f"p_{i}_{j}" for i, j in _PAIRS] + ["scale"]
-    few = groups.count() <= BROADCAST_GROUPS
+    """``stats`` with distance2 and kept: false if the base rule fails or the vector is an outlier of its group.
+
+    A language and source that the fit hasn't seen are judged by the language, or else by all.
+    """
+    names = [*_MEANS, *_PRECISIONS]
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     # The estimate for all is one row, and goes into the plan as constants.
     overall = groups.where("__level = 2").select(*names).first()
     values = [F.lit(None if overall is None else overall[n]).cast("double").alias(n) for n in names]
     out = stats.withColumn("__g2", F.struct(*values))
     for level in range(2):
-        held = groups.where((F.col("__level") == level) & (F.col("n") >= LEAST_GROUP)).select(
+        held = groups.where(F.col("__level") == level).select(
             F.col("__lang").alias(f"__lang{level}"), F.col("__source").alias(f"__source{level}"), F.struct(*names).alias(f"__g{level}")
         )
         on = F.col("lang").eqNullSafe(F.col(f"__lang{level}"))
@@ -249,8 +316,9 @@ def judge(stats: DataFrame, groups: DataFrame) -> DataFrame:
             on = on & F.col("source").eqNullSafe(F.col(f"__source{level}"))
         out = out.join(F.broadcast(held) if few else held, on, "left").drop(f"__lang{level}", f"__source{level}")
     out = out.withColumn("__g", F.coalesce("__g0", "__g1", "__g2")).drop("__g0", "__g1", "__g2")
-    d2 = _distance(lambda k: F.col(f"__g.m{k}"), lambda i, j: F.col(f"__g.p_{i}_{j}")) / F.col("__g.scale")
-    return out.withColumn("distance2", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(d2 <= CUT, F.lit(True))).drop("__g")
+    d2 = _distance(lambda k: F.col(f"__g.m{k}"), lambda i, j: F.col(f"__g.p_{i}_{j}"))
+    out = out.withColumn("distance2", d2)
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUT, F.lit(True))).drop("__g")
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operators on single texts and urls: rules, decontamination, urls, licences."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from cuelake.llm import decontaminate, license_scan, quality_rules, url_filter
@@ -45,6 +47,85 @@ def test_rules_reject_junk_and_keep_prose(spark):
     assert both[both.quality == 0].kept.mean() < 0.2
 
 
+def plain_estimates(vectors):
+    """The least regularised covariance determinant of each (lang, source), leaning on its language and on all."""
+    floors = np.diag(np.square(quality_rules.FLOORS))
+    rank = lambda values, share: np.sort(values, axis=0)[math.ceil(share * len(values)) - 1]
+    kept = {}
+    for key, rows in vectors.items():
+        x = np.unique(np.array(rows), axis=0)
+        median = rank(x, 0.5)
+        spread = 1.4826 * rank(np.abs(x - median), 0.5)
+        signs = x - median
+        norm = np.maximum((np.square(signs) / (np.square(spread) + np.diag(floors))).sum(axis=1), 1e-12)
+        starts = [
+            (median, np.diag(np.square(spread))),
+            (x.mean(axis=0), np.cov(x.T, bias=True)),
+            (median, 6 * (signs / norm[:, None]).T @ signs / len(x)),
+        ]
+        found = []
+        for centre, matrix in starts:
+            before = math.inf
+            for _ in range(quality_rules.STEPS):
+                z = x - centre
+                d2 = (z @ np.linalg.inv(matrix + floors) * z).sum(axis=1)
+                near = x[d2 <= rank(d2, quality_rules.SUBSET) * (1 + 1e-12)]
+                centre, matrix = near.mean(axis=0), quality_rules.CONSISTENCY * np.cov(near.T, bias=True).reshape(6, 6)
+                now = np.linalg.slogdet(matrix + floors)[1]
+                if now > before - 1e-9:
+                    break
+                before = now
+            found.append((np.linalg.slogdet(matrix + floors)[1], centre, matrix))
+        kept[key] = (len(x), *min(found, key=lambda f: f[0])[1:])
+
+    def pooled(some):
+        n = sum(k for k, *_ in some)
+        mean = sum(k * m for k, m, _ in some) / n
+        return n, mean, sum(k * (c + np.outer(m, m)) for k, m, c in some) / n - np.outer(mean, mean)
+
+    def lean(own, wider):
+        w = own[0] / (own[0] + quality_rules.LEAN)
+        return own[0], w * own[1] + (1 - w) * wider[1], w * own[2] + (1 - w) * wider[2]
+
+    everything = pooled(list(kept.values()))
+    tongues = {t: lean(pooled([v for (a, _), v in kept.items() if a == t]), everything) for t in {a for a, _ in kept}}
+    return {key: lean(v, tongues[key[0]]) for key, v in kept.items()}, floors
+
+
+def test_rules_by_a_plain_minimum_determinant(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for key, n in [(("en", "a"), 90), (("en", "b"), 13), (("de", "a"), 40), ((None, None), 3), (("de", None), 1)]:
+        mix = rng.normal(0, 0.4, (6, 6))
+        x = rng.normal(0, 1, (n, 6)) @ mix + rng.normal(0, 1, 6)
+        x[: n // 5] += 8
+        rows += [(*key, False, *v) for v in x.tolist()] + [(*key, True, *x[0].tolist())]
+    names = "lang string, source string, base_failed boolean, " + ", ".join(f"__x{k} double" for k in range(6))
+    stats = spark.createDataFrame(rows, names)
+    found = quality_rules.judge(stats, quality_rules.fit(stats)).collect()
+    vectors = {}
+    for r in rows:
+        vectors.setdefault(r[:2], []).append(r[3:])
+    estimates, floors = plain_estimates(vectors)
+    said = set()
+    for r in found:
+        _, mean, matrix = estimates[r["lang"], r["source"]]
+        z = np.array([r[f"__x{k}"] for k in range(6)]) - mean
+        d2 = z @ np.linalg.inv(matrix + floors) @ z
+        assert r["distance2"] == pytest.approx(d2, rel=1e-6)
+        assert r["kept"] == (not r["base_failed"] and d2 <= quality_rules.CUT)
+        said.add((r["base_failed"], r["kept"]))
+    assert said == {(True, False), (False, False), (False, True)}
+
+
+def test_rules_keep_a_distance_equal_to_the_cut(spark):
+    groups = quality_rules.fit(spark.createDataFrame([("en", "a", *[0.0] * 6)], "lang string, source string, " + ", ".join(f"__x{k} double" for k in range(6))))
+    edge = quality_rules.FLOORS[5] * math.sqrt(quality_rules.CUT)
+    rows = [("en", "a", False, *[0.0] * 5, edge * by) for by in (1 - 1e-12, 1 + 1e-9)] + [("xx", "new", False, *[0.0] * 6)]
+    stats = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"__x{k} double" for k in range(6)))
+    assert [r["kept"] for r in quality_rules.judge(stats, groups).collect()] == [True, False, True]
+
+
 def test_rules_run_no_python(spark):
     stats = quality_rules.statistics(documents(spark), ["doc_id", "lang", "source"])
     plan = quality_rules.judge(stats, quality_rules.fit(stats))._jdf.queryExecution().toString()
