@@ -14,11 +14,15 @@ Skew. Exact copies are first merged by their digest (partial aggregates, whateve
 Within a group of equal sketches every text is compared with the first and the last of the group,
 not with all others. Once components are known, groups that still hold several components compare
 one text of each (the first and the last) with the neighbouring components and with the group's
-first; this is repeated up to ``ROUNDS`` times. Then all pairs of a group that are still in
+first; this is done up to ``ROUNDS`` times, which saves work only. Then all pairs of a group that are still in
 different components, untried and of lengths that allow the similarity are compared, so every pair
 that shares a sketch ends up in one component or verified. That last step takes rows with the square
-of what is left of a group; it is dealt in blocks of about ``BLOCK`` x ``BLOCK`` texts, so that no
-group meets in one task.
+of what is left of a group; it is dealt in blocks of about ``BLOCK`` x ``BLOCK`` texts.
+
+No join or window needs the rows of a group, component or text in one task: what is one row a key
+(ends of groups, roots of roots, classes) is written before the many rows are joined to it, so that
+Spark can split a key with many of them, and neighbouring components are sought within parts of
+about ``BLOCK`` components of a group.
 
 Pairs of similarity 0.8 share a sketch with probability 1 - (1 - 0.8**PICKED)**SKETCHES, above
 0.9999.
@@ -193,6 +197,7 @@ def components(links: DataFrame) -> DataFrame:
             .groupBy("node")
             .agg(F.min("new").alias("to"))
         )
+        told = materialise(told, "roots")
         jumped = told.join(told.select(F.col("node").alias("to"), F.col("to").alias("far")), "to", "left")
         following = materialise(jumped.select("node", F.least("to", F.coalesce("far", "to")).alias("root")), "roots")
         changed = following.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1)
@@ -208,6 +213,7 @@ def _pairs(one, other) -> tuple:
 def _first_pairs(members: DataFrame) -> DataFrame:
     """Every member of a group with the group's first and last."""
     ends = members.groupBy("band", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    ends = materialise(ends, "group-ends")
     joined = members.join(ends, ["band", "key"])
     to_first = joined.where("node <> first").select(*_pairs(F.col("node"), F.col("first")))
     to_last = joined.where("node <> last and node <> first").select(*_pairs(F.col("node"), F.col("last")))
@@ -217,16 +223,19 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 def _next_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     """For groups with several components: each component's first and last with the next component's and the group's first's."""
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = F.struct("root", "first", "last")
     parts = placed.groupBy("band", "key", "root").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    group = Window.partitionBy("band", "key")
-    ordered = group.orderBy("root")
-    parts = parts.withColumn("of", F.count("*").over(group)).where("of > 1")
-    parts = parts.withColumn("before", F.lag(F.struct("first", "last")).over(ordered))
-    parts = parts.withColumn("head", F.first(F.struct("first", "last")).over(ordered)).where("before is not null")
-    ends = F.array("first", "last")
+    parts = materialise(parts, "group-parts")
+    heads = parts.groupBy("band", "key").agg(F.count("*").alias("of"), F.min(ends).alias("head")).where("of > 1")
+    heads = materialise(heads, "group-ends")
+    parts = parts.join(heads, ["band", "key"])
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("root"), F.ceil(F.col("of") / BLOCK)))
+    ordered = Window.partitionBy("band", "key", "part").orderBy("root")
+    parts = parts.withColumn("before", F.lag(ends).over(ordered))
     others = F.array("before.first", "before.last", "head.first", "head.last")
-    pairs = parts.select(F.explode(F.array_distinct(ends)).alias("x"), F.array_distinct(others).alias("others"))
-    return pairs.select("x", F.explode("others").alias("y")).select(*_pairs(F.col("x"), F.col("y"))).distinct()
+    pairs = parts.select("root", F.explode(F.array_distinct(F.array("first", "last"))).alias("x"), F.array_compact(F.array_distinct(others)).alias("others"), "head")
+    pairs = pairs.select("x", F.explode("others").alias("y"), "root", "head").where("root <> head.root or (y <> head.first and y <> head.last)")
+    return pairs.select(*_pairs(F.col("x"), F.col("y"))).where("a <> b").distinct()
 
 
 def _rest_pairs(members: DataFrame, roots: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
@@ -241,6 +250,7 @@ def _rest_pairs(members: DataFrame, roots: DataFrame, seqs: DataFrame, least: fl
         .where("r1 <> r2")
         .select(*group, "parts")
     )
+    several = materialise(several, "groups")
     dealt = placed.join(several, group).join(sizes, "node")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = materialise(dealt, "groups")
@@ -254,8 +264,9 @@ def _rest_pairs(members: DataFrame, roots: DataFrame, seqs: DataFrame, least: fl
 
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_md5 (binary; null for a null text), class_id (the least id of the class), class_texts
-    (different texts in the class), n_links (verified links of the row's text) and representative (the
-    row to keep of the class) of every row.
+    (different texts in the class), n_links (verified links of the row's text, of the pairs that had to be
+    compared: those within a class that is connected already are left out) and representative (the row to
+    keep of the class) of every row.
     """
     rows = docs.select("doc_id", "text").withColumn("node", F.unhex(F.md5("text")))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
@@ -266,6 +277,7 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int =
     members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     # Groups of one are most of them and go at once.
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = materialise(shared, "sketch-groups")
     members = materialise(members.join(shared, ["band", "key"]), "sketch-groups")
 
     # Word sequences of the texts in groups, one row for each.
@@ -300,6 +312,7 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int =
         F.count("*").alias("class_texts"),
         F.min(F.struct(F.col("least_id").isNull(), "least_id", "node"))["node"].alias("kept_node"),
     )
+    classes = materialise(classes, "classes")
     placed = placed.join(classes, "root").join(degree, "node", "left")
     is_kept = F.col("node") == F.col("kept_node")
     placed = materialise(
