@@ -12,7 +12,7 @@ item id that occurs twice counts once. Extra columns of either table are ignored
 
 Items are handled in blocks of at most ``block_words`` words, so the broadcast automaton has a
 fixed size whatever the benchmark grows to; with more than one block the documents are scanned
-once for each, and the hit words are united by row.
+once for each, and the hit words are united by row. Cleaned texts are cut from the united spans.
 """
 
 from __future__ import annotations
@@ -213,6 +213,19 @@ def _matcher(automaton, columns: list[str], text_column: str, clean: bool):
     return run
 
 
+def _cleaner(columns: list[str], text_column: str):
+    """mapInArrow function: the given columns, then __cleaned from __spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_column):
+            texts = texts_as_bytes(batch.column(text_column))
+            spans = ([(s["from"], s["to"]) for s in found] for found in batch.column("__spans").to_pylist())
+            cleaned = [_without(t, s).decode("utf-8", "replace") if s else None for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(cleaned, pa.string())], names=[*columns, "__cleaned"])
+
+    return run
+
+
 _RESULT = "__n_words long, __spans array<struct<from: long, to: long>>, __items array<string>"
 
 
@@ -244,8 +257,7 @@ def find_overlap(
 ) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all, other than those named here, if it isn't given) and,
     for every row, n_words, n_hit, spans (word places [from, to)), item_ids (sorted as strings),
-    contaminated and, with ``clean`` (one block of items only), cleaned_text: the text without its
-    hit words.
+    contaminated and, with ``clean``, cleaned_text: the text without its hit words (null: it has none).
     """
     spark = docs.sparkSession
     own = {"n_words", "n_hit", "spans", "item_ids", "contaminated", "cleaned_text"}
@@ -262,8 +274,6 @@ def find_overlap(
             StructType(fields + StructType.fromDDL(_RESULT + ", __cleaned string" * clean).fields),
         )
     else:
-        if clean:
-            raise ValueError("cleaned texts need all items in one block; raise block_words")
         # Rows need a key to be united by, the same in every scan.
         docs = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
         parts = None
@@ -282,6 +292,10 @@ def find_overlap(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
         )
         found = docs.join(united, "__row").drop("__row")
+        if clean:
+            kept = [*columns, "__n_words", "__spans", "__items"]
+            schema = StructType([*fields, *StructType.fromDDL(_RESULT + ", __cleaned string").fields])
+            found = found.select(*kept, F.col(text_column).alias("__text")).mapInArrow(_cleaner(kept, "__text"), schema)
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
     return (
         found.withColumn("__n_hit", n_hit)
