@@ -326,5 +326,5 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int =
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("is_kept") & F.col("doc_id").eqNullSafe(F.col("least_id")), F.lit(True)).alias("representative"),
+        (F.col("node").isNull() | (F.col("is_kept") & F.col("doc_id").eqNullSafe(F.col("least_id")))).alias("representative"),
     )

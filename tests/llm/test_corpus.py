@@ -1,6 +1,8 @@
 """Operators on whole corpora: shards, packing, near duplicates, and the pipeline."""
 
+import math
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuelake.llm import near_dedup, packing, sharding
+from cuelake.llm import near_dedup, packing, quality_classifier, quality_rules, sharding
 from cuelake.llm import queries as q
 
-from .helpers import PROSE, documents, folder, odd_rows, rows
+from .helpers import PROSE, documents, folder, odd_rows, rows, spaced_words
+from .test_labels import plain_scores
+from .test_texts import plain_estimates, plain_overlap, plain_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -200,21 +204,72 @@ def stages(spark, sf):
     return out
 
 
-def test_pipeline_stages_do_what_their_operators_say(spark):
-    sf = SF
-    raw, ruled, good, unique, clean, packed = stages(spark, sf)
-    ids = lambda frame: {r["doc_id"] for r in frame.select("doc_id").collect()}
-    assert ids(ruled) == {r["doc_id"] for r in q.op2_quality_rules(spark, sf).where("kept").collect()}
-    for frame in (ruled, good, unique, clean):
-        assert frame.columns == raw.columns
-        assert frame.join(raw, raw.columns, "left_anti").count() == 0
-    assert ids(good) <= ids(ruled)
-    classes = near_dedup.near_duplicates(good)
-    assert ids(unique) == {r["class_id"] for r in classes.collect()} and unique.count() == classes.select("class_id").distinct().count()
-    overlap = {r["doc_id"]: r["contaminated"] for r in q.op3_decontamination(spark, sf).collect()}
-    assert ids(clean) == {i for i in ids(unique) if not overlap[i]}
-    check_packing(packed.collect(), [tuple(r) for r in clean.select("doc_id", "text").collect()], packing.SEQUENCE)
-    assert rows(corpus_pipeline.run(spark, sf)) == rows(packed)
+def test_pipeline_by_brute_force(spark):
+    """Every stage's rows by a plain version of its rule, over what the stage before has kept."""
+    raw, ruled, good, unique, clean, packed = stages(spark, SF)
+    of = lambda frame: {r["doc_id"]: r.asDict() for r in frame.collect()}
+    raw_rows, ruled_rows, good_rows, unique_rows, clean_rows = map(of, (raw, ruled, good, unique, clean))
+    # Rules: base columns and statistics in plain Python, the estimate in numpy.
+    vectors, by_id, failed = defaultdict(list), {}, set()
+    for i, r in raw_rows.items():
+        n, chars, symbols, dup, repeated, fails = plain_rules(r["text"])
+        words, text = spaced_words(r["text"]), r["text"] or ""
+        lines = sum(bool(spaced_words(x)) for x in text.split("\n"))
+        upper = sum(unicodedata.category(c) == "Lu" for c in text)
+        x = [
+            math.log((chars + 100) / (n + 20)), math.log1p(10 * symbols / (n + 5)), math.sqrt(dup / (lines + 2)), math.sqrt(repeated / max(n, 1)),
+            math.sqrt(upper / max(chars, 1)), math.log((len(set(words)) + 1) / (max(n, 1) ** 0.85 + 1)),
+        ]
+        by_id[i] = x
+        vectors[r["lang"], r["source"]].append(x)
+        if fails:
+            failed.add(i)
+    estimates, floors = plain_estimates(vectors)
+    wanted = set()
+    for i, r in raw_rows.items():
+        _, mean, matrix = estimates[r["lang"], r["source"]]
+        z = np.array(by_id[i]) - mean
+        if i not in failed and z @ np.linalg.inv(matrix + floors) @ z <= quality_rules.CUT:
+            wanted.add(i)
+    assert set(ruled_rows) == wanted
+    # Classifier: the fitted weights applied in plain Python.
+    model = quality_classifier.fit(ruled.where(~q.held_out(F.col("doc_id"), 4, 2)), spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = plain_scores(model, [r["text"] for r in ruled_rows.values()])
+    assert set(good_rows) == {i for i, s in zip(ruled_rows, scores, strict=True) if s >= quality_classifier.THRESHOLD}
+    # Near copies: all pairs.
+    seqs = {i: near_dedup.kmers(near_dedup.word_numbers((r["text"] or "").encode())) for i, r in good_rows.items()}
+    first = {i: i for i in sorted(seqs)}
+
+    def top(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for b in first:
+        for a in first:
+            if a < b and (good_rows[a]["text"] == good_rows[b]["text"] or near_dedup.similarity(seqs[a], seqs[b]) > 0):
+                x, y = sorted((top(a), top(b)))
+                first[y] = x
+    assert set(unique_rows) == {top(i) for i in first}
+    # Contamination: all windows. Rows are as they were but for passages that were cut.
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    judged = {i: plain_overlap(r["text"], items, 13) for i, r in unique_rows.items()}
+    assert set(clean_rows) == {i for i, j in judged.items() if not j[4]}
+    for i, r in clean_rows.items():
+        assert (r == raw_rows[i]) == (judged[i][1] == 0)
+        assert plain_overlap(r["text"], items, 13)[0] == judged[i][0] - judged[i][1]
+    check_packing(packed.collect(), [(i, r["text"]) for i, r in clean_rows.items()], packing.SEQUENCE)
+    assert rows(corpus_pipeline.run(spark, SF)) == rows(packed)
+
+
+def test_passages_below_the_limit_are_cut(spark, tmp_path):
+    item = " ".join(f"b{k}" for k in range(13))
+    own = " ".join(f"w{k}" for k in range(400))
+    sf = folder(spark, tmp_path, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    docs = documents(spark, [(1, f"{own} {item} {own}", "en", "a", 7), (2, f"{item} few", "en", "a", 7), (3, own, "en", "a", None)])
+    found = {r["doc_id"]: r for r in corpus_pipeline.drop_contaminated(spark, docs, sf).collect()}
+    assert set(found) == {1, 3} and found[1]["text"] == f"{own}  {own}" and found[1]["n_chars"] == len(found[1]["text"])
+    assert (found[3]["text"], found[3]["n_chars"]) == (own, None)
 
 
 def test_pipeline_takes_odd_rows(spark, tmp_path):
