@@ -23,12 +23,10 @@ def _whole_rows(docs: DataFrame) -> DataFrame:
 def reject_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or are outliers of their language and source go.
 
-    Texts are read twice, for the estimates and for the verdicts, as that moves no text.
+    Statistics are taken once and written beside the rows; no text is shuffled.
     """
-    stats = quality_rules.statistics(docs.select("text", "lang", "source"), ["lang", "source"])
-    groups = quality_rules.fit(materialise(stats, "text-statistics"))
-    judged = quality_rules.judge(quality_rules.statistics(_whole_rows(docs), ["__row", "lang", "source"]), groups)
-    return judged.where("kept").select("__row.*")
+    stats = materialise(quality_rules.statistics(_whole_rows(docs), ["__row", "lang", "source"]), "text-statistics")
+    return quality_rules.judge(stats, quality_rules.fit(stats)).where("kept").select("__row.*")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,25 +38,30 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near or exact copies stays: the one of the least id. Null texts all stay."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("representative and text_md5 is not null").select(
-        F.col("doc_id").alias("__id"), F.col("text_md5").alias("__kept")
-    )
-    rows = _whole_rows(docs).withColumn("__md5", F.unhex(F.md5("text"))).drop("lang", "source")
-    same = (F.col("__md5") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    one = rows.where("text is not null").join(kept.distinct(), same, "left_semi").drop("text")
-    # A repeated row is a copy of itself.
-    one = one.dropDuplicates(["doc_id", "__md5"]).select("__row.*")
-    return one.union(rows.where("text is null").select("__row.*"))
+    """One document of each group of near or exact copies stays: the one of the least id. Null texts all stay.
+
+    Groups are found and rows chosen by the id and the row's place alone; whole rows are moved once, to
+    be held against the chosen places. A repeated row is a copy of itself.
+    """
+    placed = docs.withColumn("__at", F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__at").alias("at"))
+    found = near_dedup.near_duplicates(placed.select(key.alias("doc_id"), "text"))
+    chosen = found.where("representative").select(F.col("doc_id.at").alias("__chosen"))
+    return placed.join(chosen, F.col("__at") == F.col("__chosen"), "left_semi").drop("__at")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages in a twentieth of their words or more go."""
-    rows = _whole_rows(docs)
-    benchmark = table(spark, sf_dir, "benchmark")
-    found = decontaminate.find_overlap(rows, benchmark, carry=["__row"])
-    return found.where(~F.col("contaminated")).select("__row.*")
+    """Documents with benchmark passages in a twentieth of their words or more go; from others such passages go.
+
+    A text that passages are cut from is cut in ``text``, and counted anew in ``n_chars`` where there is such a column.
+    """
+    found = decontaminate.find_overlap(_whole_rows(docs), table(spark, sf_dir, "benchmark"), carry=["__row"], clean=True)
+    cut = {"text": F.col("cleaned_text"), "n_chars": F.length("cleaned_text")}
+    fields = [
+        F.coalesce(cut[c].cast(docs.schema[c].dataType), F.col(f"__row.`{c}`")).alias(c) if c in cut else F.col(f"__row.`{c}`").alias(c)
+        for c in docs.columns
+    ]
+    return found.where(~F.col("contaminated")).select(*fields)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +77,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier and the curve are beyond SQL; tests compare ``run`` with a brute-force version.
+#: The classifier and the curve are beyond SQL; tests compare the stages with plain versions of their rules.
 ORACLE_SQL = None
 
 
