@@ -1,185 +1,245 @@
 """Licence scan with a positional rare-token index, in DataFrame functions only.
 
-Notices of well-known licences are the templates. Their words, without function words, make the
-licence vocabulary; the index lists the templates and places of each. One reading of the texts
-finds the places of vocabulary words and of the key phrases. Document frequencies over all texts
-give each word its IDF, ln(1 + files / files with the word), which is above 0 however common a word is.
-A file's licence words are looked up; each occurrence votes for (template, place of the file minus place of the template), and votes
-are counted per file, template and offset. A candidate with ``LEAST_SHARE`` of its template's
-IDF at one offset is accepted if the template's mandatory phrase stands inside it.
-
-Votes are rows of (file, template, offset), so a text of thousands of notices is summed by
-aggregation like any other; the index has a row a template word and is constant. Texts aren't shuffled.
+Licence texts and notices are the templates. Document frequencies of their words over all files
+give each word its IDF, ln(1 + (files + 1) / (files with it + 1)), above 0 however common a word
+is. Of each template the highest-IDF words are indexed, with their places: as many as hold more
+than ``1 - LEAST_SHARE`` of its IDF, so that no file with ``LEAST_SHARE`` of a template can lack
+all of them, be the licence rare or in every file. A file's words are looked up; each says
+(template, place in the file minus place in the template). At each such offset the whole template
+is held against the file: it is found if words with ``LEAST_SHARE`` of its IDF, and all words of
+its mandatory phrase, stand at their places. No limit is set on words looked up, offsets or matches.
+
+Two passes read the texts, one for the frequencies (a row a word of the templates) and one for the
+rest; texts aren't shuffled. The work of a file follows its length and the licences in it.
 
 Defined results: a null text is empty; empty texts have no places, empty labels and score 0;
-repeated rows are scanned alone; an empty table gives an empty result; other columns are ignored.
+words of equal IDF are indexed in alphabetical order, all places of a word together; repeated rows are scanned alone;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bind
 
-#: (label, mandatory phrase, notices): wording of the licences' own notices.
+# Wording of the licences' own texts and notices, as (label, mandatory phrase, texts).
 TEMPLATES = [
     ("mit", "mit license", [
-        "released under the mit license",
-        "licensed under the mit license",
-        "the mit license permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "released under the MIT License",
+        "licensed under the MIT License",
     ]),
-    ("apache-2.0", "apache license", [
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    ("mit", "permission is hereby granted free of charge", [
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     ]),
-    ("gpl-notice", "general public license", [
-        "this work is licensed under the gnu general public license version 3",
-        "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-        "released under the gnu general public license",
+    ("isc", "permission to use copy modify", [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     ]),
-    ("cc-by-nc", "cc by nc", ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"]),
-    ("cc-by-sa", "cc by sa", ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"]),
     ("bsd", "source and binary forms", [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. Redistribution and use in
+        source and binary forms""",
+    ]),
+    ("zlib", "this software is provided as is", [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software.""",
+    ]),
+    ("unlicense", "released into the public domain", [
+        "This is free and unencumbered software released into the public domain.",
+    ]),
+    ("apache-2.0", "apache license", [
+        "Licensed under the Apache License, Version 2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+    ]),
+    ("gpl-notice", "gnu general public license", [
+        "this work is licensed under the GNU General Public License, version 3",
+        "released under the GNU General Public License",
+        "licensed under the GNU General Public License",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version.""",
+        "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    ]),
+    ("lgpl", "lesser general public license", [
+        "licensed under the GNU Lesser General Public License",
+        "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     ]),
-    ("mpl-2.0", "mozilla public license", ["this source code form is subject to the terms of the mozilla public license v 2 0"]),
-    ("lgpl", "lesser general public license", ["licensed under the gnu lesser general public license"]),
+    ("agpl", "affero general public license", [
+        "licensed under the GNU Affero General Public License",
+        "redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ]),
+    ("mpl-2.0", "mozilla public license", [
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at""",
+        "subject to the terms of the Mozilla Public License, v. 2.0",
+    ]),
+    ("cc-by-nc", "cc by nc", ["licensed under CC BY-NC 4.0", "this work is licensed under CC BY-NC 4.0"]),
+    ("cc-by-sa", "cc by sa", ["licensed under CC BY-SA 4.0", "this work is licensed under CC BY-SA 4.0"]),
+    ("cc-by-nd", "cc by nd", ["licensed under CC BY-ND 4.0", "this work is licensed under CC BY-ND 4.0"]),
+    ("cc0", "cc0 1 0", ["licensed under CC0 1.0", "dedicated to the public domain under CC0 1.0"]),
 ]
 #: (phrase, label) of the base rule.
 BASE_PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: Words that say nothing of licences; single letters and digits are left out as well.
-FUNCTION_WORDS = frozenset(
-    "all and any are as be by for free from in is it may no not of on or terms that the this to under use with without you version work form code person following met file copy".split()
-)
 LEAST_SHARE = 0.7
-LEAST_VOTES = 2
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_PLAIN_WORD = re.compile(r"[0-9a-z]+")
+#: Offsets are from -_FAR to _FAR; template and offset go as one number, since numbers are told apart by hash.
+_FAR = 1 << 32
+
+
+def template_words() -> list[tuple[str, list[str], list[int]]]:
+    """(label, words, places of the mandatory phrase) of every template."""
+    out = []
+    for label, phrase, texts in TEMPLATES:
+        wanted = phrase.split()
+        for text in texts:
+            words = _PLAIN_WORD.findall(text.lower())
+            start = next(k for k in range(len(words)) if words[k : k + len(wanted)] == wanted)
+            out.append((label, words, list(range(start, start + len(wanted)))))
+    return out
+
+
+def rare_words(words: list[str], idf: dict[str, float]) -> set[str]:
+    """The highest-IDF words that hold more than ``1 - LEAST_SHARE`` of the template's IDF."""
+    left, out = (1 - LEAST_SHARE) * sum(idf[w] for w in words) * (1 + 1e-9), set()
+    for word in sorted(set(words), key=lambda w: (-idf[w], w)):
+        if left < 0:
+            break
+        out.add(word)
+        left -= idf[word] * words.count(word)
+    return out
+
+
+def _words(docs: DataFrame, *carry: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*carry, F.array_remove(F.split(text, _NO_WORD), "").alias("__words"))
 
 
-def _vocabulary_word(word: str) -> bool:
-    return len(word) > 1 and word not in FUNCTION_WORDS
-
-
-def index_rows() -> list[tuple[int, str, str, int]]:
-    """(template, label, word, place) for the vocabulary words of every notice."""
-    rows, number = [], 0
-    for label, _, notices in TEMPLATES:
-        for notice in notices:
-            rows += [(number, label, w, at) for at, w in enumerate(notice.split()) if _vocabulary_word(w)]
-            number += 1
-    return rows
+def _lowered(word: Column, among: list[str]) -> Column:
+    """The word with A-Z lowered if it is one of these plain words, else null: lower() also maps other letters to a-z, hence the size."""
+    return F.when(F.lower(word).isin(among) & (F.octet_length(word) == F.length(word)), F.lower(word))
 
 
-PHRASES = [p for p, _ in BASE_PHRASES] + [p for _, p, _ in TEMPLATES if p not in dict(BASE_PHRASES)]
-VOCABULARY = sorted(
-    {w for _, _, w, _ in index_rows()} | {w for p in PHRASES for w in p.split() if _vocabulary_word(w)}
-)
+def frequencies(docs: DataFrame) -> dict[str, float]:
+    """IDF of every word of the templates: at most as many rows as they have words reach the driver."""
+    vocabulary = sorted({w for _, words, _ in template_words() for w in words})
+    seen = F.array_distinct(F.array_compact(F.transform("__words", lambda w: _lowered(w, vocabulary))))
+    counts = dict(_words(docs).select(F.explode(seen).alias("word")).groupBy("word").count().collect())
+    files = docs.count()
+    return {w: math.log1p((files + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
 
-def _is(word: Column, plain: str) -> Column:
-    """Equal to a plain word with A-Z lowered: lower() also maps other letters to a-z, hence the size."""
-    return (F.lower(word) == plain) & (F.octet_length(word) == len(plain))
+def _is(word: Column, plain: Column | str, size) -> Column:
+    return (F.lower(word) == plain) & (F.octet_length(word) == size)
 
 
 def phrase_places(words: Column, hits: Column, phrase: str) -> Column:
-    """Starts of a phrase, found from its longest vocabulary word."""
+    """Starts of a phrase, found from its longest word."""
     parts = phrase.split()
-    anchor = max((k for k, w in enumerate(parts) if _vocabulary_word(w)), key=lambda k: (len(parts[k]), -k))
+    anchor = _anchor(phrase)
 
     def fits(hit: Column) -> Column:
         found = hit["w"] == parts[anchor]
         for k, w in enumerate(parts):
             if k != anchor:
                 place = hit["i"] + (k - anchor)
-                found = found & (place >= 0) & F.coalesce(_is(F.get(words, place), w), F.lit(False))
+                found = found & (place >= 0) & F.coalesce(_is(F.get(words, place), w, len(w)), F.lit(False))
         return found
 
     return F.transform(F.filter(hits, fits), lambda h: h["i"] - anchor)
 
 
-def read_words(docs: DataFrame) -> DataFrame:
-    """A row key, doc_id, n_words, hits (vocabulary words and places) and the starts of every phrase."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    first = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.array_remove(F.split(text, _NO_WORD), "").alias("words")
-    )
-    placed = F.transform(
-        "words",
-        lambda w, i: F.when(
-            F.lower(w).isin(VOCABULARY) & (F.octet_length(w) == F.length(w)), F.struct(F.lower(w).alias("w"), i.alias("i"))
-        ),
-    )
-    second = first.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), F.array_compact(placed).alias("hits"))
-    words, hits = F.col("words"), F.col("hits")
-    return second.select(
-        "row",
-        "doc_id",
-        "n_words",
-        "hits",
-        *(phrase_places(words, hits, p).alias(f"phrase{k}") for k, p in enumerate(PHRASES)),
-    )
+def _anchor(phrase: str) -> int:
+    parts = phrase.split()
+    return max(range(len(parts)), key=lambda k: (len(parts[k]), -k))
+
+
+def _constant(value, schema: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def found_licences(words: Column, hits: Column, idf: dict[str, float]) -> Column:
+    """Labels and shares of the templates that stand in the words."""
+    templates, index = [], {}
+    for number, (label, own, phrase) in enumerate(template_words()):
+        entries = [{"word": w, "size": len(w), "place": k, "idf": idf[w], "must": k in phrase} for k, w in enumerate(own)]
+        templates.append({"label": label, "total": sum(idf[w] for w in own), "entries": entries})
+        for word in sorted(rare_words(own, idf)):
+            index.setdefault(word, []).extend(2 * _FAR * number + _FAR - k for k, w in enumerate(own) if w == word)
+    table = _constant(templates, "array<struct<label: string, total: double, entries: array<struct<word: string, size: int, place: int, idf: double, must: boolean>>>>")
+    postings = _constant(index, "map<string, array<long>>")
+    none = F.array().cast("array<long>")
+    looked_up = F.transform(hits, lambda h: F.transform(F.coalesce(F.try_element_at(postings, h["w"]), none), lambda p: p + h["i"]))
+
+    def held(code: Column) -> Column:
+        template = F.get(table, F.floor(code / (2 * _FAR)).cast("int"))
+        offset = F.pmod(code, F.lit(2 * _FAR)) - _FAR
+
+        def stands(entry: Column) -> Column:
+            place = (offset + entry["place"]).cast("int")
+            return (place >= 0) & F.coalesce(_is(F.get(words, place), entry["word"], entry["size"]), F.lit(False))
+
+        def weighed(t: Column) -> Column:
+            there = F.filter(t["entries"], stands)
+            idf_there = F.aggregate(there, F.lit(0.0), lambda a, e: a + e["idf"])
+            needed = F.size(F.filter(t["entries"], lambda e: e["must"]))
+            whole = F.size(F.filter(there, lambda e: e["must"])) == needed
+            return F.struct(t["label"].alias("label"), F.when(whole, F.least(F.lit(1.0), idf_there / t["total"])).otherwise(0.0).alias("share"))
+
+        return bind(template, weighed)
+
+    shares = F.transform(F.array_distinct(F.flatten(looked_up)), held)
+    return F.filter(shares, lambda s: s["share"] >= LEAST_SHARE - 1e-9)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    spark = docs.sparkSession
-    files = materialise(read_words(docs), "licence-words")
-    base = range(len(BASE_PHRASES))
-    total = max(1, files.count())
-
-    # Document frequencies: a row a vocabulary word at most.
-    seen = files.where(F.size("hits") > 0).select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word"))
-    frequency = seen.groupBy("word").agg(F.count("*").alias("df"))
-    index = spark.createDataFrame(index_rows(), "template int, label string, word string, place int")
-    idf = F.log1p(F.lit(total + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
-    index = index.join(F.broadcast(frequency), "word", "left").withColumn("idf", idf).drop("df")
-    whole = index.groupBy("template").agg(F.sum("idf").alias("all_idf"))
-    index = F.broadcast(materialise(index.join(whole, "template"), "licence-index"))
-
-    hits = files.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
-    votes = (
-        hits.join(index, "word")
-        .groupBy("row", "template", "label", (F.col("i") - F.col("place")).alias("offset"))
-        .agg(
-            F.count("*").alias("votes"),
-            F.sum("idf").alias("idf"),
-            F.first("all_idf").alias("all_idf"),
-            F.min("i").alias("from"),
-            F.max("i").alias("to"),
-        )
-        .withColumn("share", F.least(F.lit(1.0), F.col("idf") / F.col("all_idf")))
-        .where((F.col("share") >= LEAST_SHARE) & (F.col("votes") >= LEAST_VOTES))
+    idf = frequencies(docs)
+    sought = sorted(
+        {w for _, own, _ in template_words() for w in rare_words(own, idf)} | {p.split()[_anchor(p)] for p, _ in BASE_PHRASES}
     )
-    number = {p: k for k, p in enumerate(PHRASES)}
-    mandatory = spark.createDataFrame([(label, number[p], len(p.split())) for label, p, _ in TEMPLATES], "label string, phrase int, size int")
-    starts = F.array(*(F.struct(F.lit(k).alias("phrase"), F.col(f"phrase{k}").alias("starts")) for k in range(len(PHRASES))))
-    phrases = (
-        files.select("row", F.explode(F.filter(starts, lambda s: F.size(s["starts"]) > 0)).alias("p"))
-        .select("row", F.col("p.phrase").alias("phrase"), F.explode("p.starts").alias("start"))
-        .join(F.broadcast(mandatory), "phrase")
-        .select("row", "label", "start", "size")
-    )
-    # The phrase must lie in the stretch of the votes, which may end with words of the phrase.
-    verified = (
-        votes.join(phrases, ["row", "label"])
-        .where((F.col("start") + F.col("size") > F.col("from")) & (F.col("start") <= F.col("to")))
-        .groupBy("row")
-        .agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    base = range(len(BASE_PHRASES))
+    hit = lambda w, i: bind(_lowered(w, sought), lambda low: F.when(low.isNotNull(), F.struct(low.alias("w"), i.alias("i"))))
+    placed = _words(docs, "doc_id").withColumn("__hits", F.array_compact(F.transform("__words", hit)))
+    words, hits = F.col("__words"), F.col("__hits")
+    found = placed.select(
+        "doc_id",
+        F.size(words).cast("long").alias("n_words"),
+        *(F.when(F.size(hits) > 0, phrase_places(words, hits, p)).otherwise(F.array().cast("array<int>")).alias(f"__phrase{k}") for k, (p, _) in enumerate(BASE_PHRASES)),
+        F.when(F.size(hits) > 0, found_licences(words, hits, idf)).alias("__found"),
     )
-
-    places = F.concat(*(F.col(f"phrase{k}") for k in base))
-    named = F.array_compact(F.array(*(F.when(F.size(f"phrase{k}") > 0, F.lit(BASE_PHRASES[k][1])) for k in base)))
-    out = files.select("row", "doc_id", "n_words", places.alias("places"), named.alias("named")).join(verified, "row", "left")
-    every = F.array_union("named", F.coalesce("found", F.array().cast("array<string>")))
-    return out.select(
+    places = F.concat(*(F.col(f"__phrase{k}") for k in base))
+    named = F.array_compact(F.array(*(F.when(F.size(f"__phrase{k}") > 0, F.lit(BASE_PHRASES[k][1])) for k in base)))
+    more = F.coalesce(F.transform("__found", lambda x: x["label"]), F.array().cast("array<string>"))
+    share = F.coalesce(F.array_max(F.transform("__found", lambda x: x["share"])), F.lit(0.0))
+    return found.select(
         "doc_id",
         "n_words",
-        F.size("places").cast("long").alias("n_base"),
-        F.array_min("places").cast("long").alias("first_word"),
-        F.array_max("places").cast("long").alias("last_word"),
-        F.array_join(F.array_sort("named"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(every), ",").alias("labels"),
-        F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size("named") > 0, 1.0).otherwise(0.0)).alias("score"),
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(named), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(named, more)), ",").alias("labels"),
+        F.greatest(share, F.when(F.size(named) > 0, 1.0).otherwise(0.0)).alias("score"),
     )

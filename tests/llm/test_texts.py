@@ -309,13 +309,51 @@ def test_licences(spark, tmp_path):
     assert q.op7_license_scan(spark, folder(spark, tmp_path / "e", documents=documents(spark, []))).collect() == []
 
 
-def test_licence_in_every_file(spark):
+def plain_labels(texts):
+    """Labels of every text: every template at every offset, weighed by IDF."""
+    split = [plain_words(t) for t in texts]
+    templates = license_scan.template_words()
+    vocabulary = {w for _, own, _ in templates for w in own}
+    idf = {w: math.log1p((len(texts) + 1) / (sum(w in set(own) for own in split) + 1)) for w in vocabulary}
+    out = []
+    for words in split:
+        labels = set(plain_licence(" ".join(words))[4].split(",")) - {""}
+        best = 1.0 if labels else 0.0
+        for label, own, must in templates:
+            for offset in range(-len(own), len(words)):
+                there = [k for k, w in enumerate(own) if 0 <= offset + k < len(words) and words[offset + k] == w]
+                share = sum(idf[own[k]] for k in there) / sum(idf[w] for w in own)
+                if share >= license_scan.LEAST_SHARE - 1e-9 and set(must) <= set(there):
+                    labels.add(label)
+                    best = max(best, min(1.0, share))
+        out.append((",".join(sorted(labels)), best))
+    return out
+
+
+def test_licence_labels_by_brute_force(spark):
+    rng = random.Random(13)
+    bodies = [text for _, _, some in license_scan.TEMPLATES for text in some]
+    texts = [r[1] for r in odd_rows() if r[0] != 8]
+    for _ in range(60):
+        words = rng.choice(bodies).split()
+        for _ in range(rng.randrange(len(words) // 3 + 2)):
+            words[rng.randrange(len(words))] = rng.choice(["the", "copy", "x1", "Software", "mit"])
+        cut = rng.randrange(3) and rng.randrange(1 + len(words) // 3)
+        texts.append(" ".join([*rng.choices(PROSE.split(), k=rng.randrange(9)), *words[cut:], *rng.choice(["", PROSE, rng.choice(bodies)]).split()]))
+    texts += ["word the of"] * 30
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)])).collect()}
+    wanted = plain_labels(texts)
+    assert {k: v[0] for k, v in found.items()} == {k: w[0] for k, w in enumerate(wanted)}
+    assert all(found[k][1] == pytest.approx(w[1]) for k, w in enumerate(wanted))
+    assert len({w[0] for w in wanted}) > 8
+
+
+@pytest.mark.parametrize("with_it, of", [(10, 11), (11, 11), (1, 400)])
+def test_label_of_a_licence_however_common(spark, with_it, of):
     notices = ["This is licensed under the MIT license.", "Licensed under the Apache License, Version 2.0."]
-    texts = [f"file {k} {notices[k % 2]}" for k in range(12)]
+    texts = [f"file {k} {notices[k % 2]}" if k < with_it else f"file {k}, a license of its own" for k in range(of)]
     found = license_scan.scan(documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)])).collect()
-    assert {r["doc_id"]: r["labels"] for r in found} == {k: ["mit", "apache-2.0"][k % 2] for k in range(12)}
-    alone = license_scan.scan(documents(spark, [(1, notices[0], "en", "a", 1)] * 2)).collect()
-    assert [r["labels"] for r in alone] == ["mit", "mit"]
+    assert {r["doc_id"]: r["labels"] for r in found} == {k: ["mit", "apache-2.0"][k % 2] if k < with_it else "" for k in range(of)}
 
 
 def test_mined_rules_do_not_repeat_the_fixed_ones(spark):
