@@ -1,6 +1,8 @@
 """Operators that learn from labels: language, quality, and the language model."""
 
 import math
+import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -182,48 +184,81 @@ def test_base_score_by_brute_force(spark, heavy):
         assert math.isclose(r["base_score"], w[5], rel_tol=1e-9)
 
 
-def test_suffix_tree_scores_longest_retained_suffixes(spark):
-    texts = ["the cat sat on the mat", "The dog sat on the log", None, "x"]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 30)], "doc_id long, text string")
-    model = lm_score.fit(docs, least_count=5, least_gain=1.0)
-    tree = model.tree
-    assert len(tree.states) > 5
-    known = {s: k for k, s in enumerate(tree.states)}
-    sums = np.power(10.0, tree.logs)
-    sums[:, -1] *= max(1, (tree.symbols == lm_score.SYMBOLS - 1).sum())
-    assert np.allclose(sums.sum(axis=1), 1)
-    for text, got in zip(["the cat", "", "zebra fox"], tree.score([b"the cat", b"", b"zebra fox"]), strict=True):
-        stream = b"\n" * lm_score.DEPTH + b" ".join(lm_score.words_of(text.encode())) + b"\n"
-        total = 0.0
-        for at in range(lm_score.DEPTH, len(stream)):
-            for depth in range(lm_score.DEPTH, -1, -1):
-                code = 0
-                for b in stream[at - depth : at]:
-                    code = code << lm_score.BITS | int(tree.symbols[b])
-                if (depth, code) in known:
-                    total += tree.logs[known[depth, code], tree.symbols[stream[at]]]
-                    break
-        assert math.isclose(total, got, rel_tol=1e-9)
-
-
-def test_suffix_tree_keeps_all_contexts_that_pass(spark):
-    rng = np.random.default_rng(9)
-    text = bytes(rng.integers(97, 123, 60_000, dtype=np.uint8)).decode()
-    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
-    tree = lm_score.fit(docs, least_count=1, least_gain=0.5).tree
-    stream = "\n" * lm_score.DEPTH + text + "\n"
-    grams = [Counter((stream[at - d : at], stream[at]) for at in range(lm_score.DEPTH, len(stream))) for d in range(lm_score.DEPTH + 1)]
-    totals = [Counter() for _ in grams]
-    for d, counts in enumerate(grams):
-        for (context, _), n in counts.items():
-            totals[d][context] += n
-    wanted = 1
-    for d in range(1, lm_score.DEPTH + 1):
-        gains = Counter()
-        for (context, symbol), n in grams[d].items():
-            gains[context] += n * math.log(n / totals[d][context] / (grams[d - 1][context[1:], symbol] / totals[d - 1][context[1:]]))
-        wanted += sum(g >= 0.5 for g in gains.values())
-    assert len(tree.states) == len(tree.logs) == wanted > 20_001
+def plain_places(text):
+    """(symbols before, the word so far if it is long, symbol) at every place of a text."""
+    stream = "\n" * lm_score.DEPTH + " ".join(spaced_words(text.translate(UPPER))) + "\n"
+    for at in range(lm_score.DEPTH, len(stream)):
+        word = re.split("[ \n]", stream[:at])[-1]
+        yield stream[at - lm_score.DEPTH : at], word if len(word) >= lm_score.DEPTH - 1 else None, stream[at]
+
+
+def plain_tree(texts, least_count, least_gain):
+    """Next symbols' counts of all retained contexts: (depth, context), whole words at depth WORD."""
+    counts = {}
+    for text in texts:
+        for before, word, symbol in plain_places(text or ""):
+            keys = [(d, before[len(before) - d :]) for d in range(lm_score.DEPTH + 1 if word is None else lm_score.SHORT + 1)]
+            for key in keys + [(lm_score.WORD, word)] * (word is not None):
+                counts.setdefault(key, Counter())[symbol] += 1
+    kept = {(0, ""): counts[0, ""]}
+    for (depth, context), own in counts.items():
+        if depth:
+            size = lm_score.SHORT if depth == lm_score.WORD else depth - 1
+            other = counts[size, context[len(context) - size :]]
+            n, of = sum(own.values()), sum(other.values())
+            if n >= least_count and sum(k * math.log(k / n / (other[x] / of)) for x, k in own.items()) >= least_gain:
+                kept[depth, context] = own
+    return kept
+
+
+def plain_log10(kept, text):
+    def chance(depth, context, symbol):
+        own = kept[depth, context]
+        shorter = [d for d in range(min(lm_score.SHORT, len(context)) if depth == lm_score.WORD else depth - 1, -1, -1) if (d, context[len(context) - d :]) in kept]
+        under = chance(shorter[0], context[len(context) - shorter[0] :], symbol) if shorter else 1 / lm_score.SYMBOLS
+        return (own[symbol] + lm_score.SMOOTHING * under) / (sum(own.values()) + lm_score.SMOOTHING)
+
+    total = 0.0
+    for before, word, symbol in plain_places(text):
+        keys = [(lm_score.WORD, word)] if word is not None else []
+        keys += [(d, before[len(before) - d :]) for d in range(lm_score.DEPTH if word is None else lm_score.SHORT, -1, -1)]
+        total += math.log10(chance(*next(k for k in keys if k in kept), symbol))
+    return total
+
+
+@pytest.mark.parametrize("least_count, least_gain", [(3, 1.0), (1, 0.5)])
+def test_suffix_tree_by_brute_force(spark, least_count, least_gain):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 12))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 61), k=rng.randint(0, 30))) for _ in range(120)] + [None, "", "Aa  b\tC"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    tree = lm_score.fit(docs, least_count=least_count, least_gain=least_gain).tree
+    kept = plain_tree(texts, least_count, least_gain)
+    byte_of = {int(n): b for b, n in enumerate(tree.symbols) if n < lm_score.SYMBOLS - 1}
+    for depth in range(lm_score.DEPTH + 1):
+        codes = tree.levels[depth][0].tolist()
+        found = {"".join(chr(byte_of[code >> (lm_score.BITS * k) & 63]) for k in range(depth - 1, -1, -1)) for code in codes}
+        assert found == {c for d, c in kept if d == depth} and len(found) == len(codes)
+    stream = lm_score.Stream([" ".join(c for d, c in kept if d == lm_score.WORD).encode() + b"\n"], tree.symbols)
+    ends = np.flatnonzero((stream.bytes <= 32) & stream.scored)
+    assert sorted(stream.keys(ends).tolist()) == tree.levels[lm_score.WORD][0].tolist()
+    assert tree.size == len(kept) and len(tree.levels[lm_score.WORD][0]) > 10
+    assert np.allclose(np.power(10.0, tree.logs.astype(float))[:, : lm_score.SYMBOLS - 1].sum(axis=1) + np.power(10.0, tree.logs[:, -1].astype(float)) * (tree.symbols == lm_score.SYMBOLS - 1).sum(), 1, atol=1e-4)
+    asked = ["", "abc", words[3] + " " + words[50], " ".join(words), "eeeeeeeeeeeeeeeeeeeeee", *filter(None, texts[:20])]
+    for text, got in zip(asked, tree.score([t.encode() for t in asked]), strict=True):
+        assert math.isclose(plain_log10(kept, text), got, rel_tol=1e-5)
+
+
+def test_language_model_beats_its_base_on_unseen_texts(spark):
+    found = q.op9_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > 0.99 * found[1]
+
+
+def test_language_model_odd_rows(spark, tmp_path):
+    found = q.op9_lm_score(spark, folder(spark, tmp_path, documents=documents(spark))).collect()
+    assert len(found) == len(odd_rows()) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in found)
+    by_id = {r["doc_id"]: r["score"] for r in found}
+    assert by_id[4] == by_id[5] == by_id[6] > by_id[7]
 
 
 def test_language_model_empty(spark, tmp_path):
