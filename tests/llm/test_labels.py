@@ -242,8 +242,10 @@ def test_suffix_tree_by_brute_force(spark, least_count, least_gain):
     stream = lm_score.Stream([" ".join(c for d, c in kept if d == lm_score.WORD).encode() + b"\n"], tree.symbols)
     ends = np.flatnonzero((stream.bytes <= 32) & stream.scored)
     assert sorted(stream.keys(ends).tolist()) == tree.levels[lm_score.WORD][0].tolist()
-    assert tree.size == len(kept) and len(tree.levels[lm_score.WORD][0]) > 10
-    assert np.allclose(np.power(10.0, tree.logs.astype(float))[:, : lm_score.SYMBOLS - 1].sum(axis=1) + np.power(10.0, tree.logs[:, -1].astype(float)) * (tree.symbols == lm_score.SYMBOLS - 1).sum(), 1, atol=1e-4)
+    assert tree.size == 1 + len(kept) and len(tree.levels[lm_score.WORD][0]) > 10
+    every = np.arange(tree.size, dtype=np.uint32)
+    sums = sum(tree._chances(every, np.full(tree.size, symbol, np.uint64)) for symbol in range(lm_score.SYMBOLS))
+    assert np.allclose(sums, 1, atol=1e-4)
     asked = ["", "abc", words[3] + " " + words[50], " ".join(words), "eeeeeeeeeeeeeeeeeeeeee", *filter(None, texts[:20])]
     for text, got in zip(asked, tree.score([t.encode() for t in asked]), strict=True):
         assert math.isclose(plain_log10(kept, text), got, rel_tol=1e-5)
