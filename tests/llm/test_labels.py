@@ -247,7 +247,7 @@ def test_suffix_tree_by_brute_force(spark, least_count, least_gain):
     sums = sum(tree._chances(every, np.full(tree.size, symbol, np.uint64)) for symbol in range(lm_score.SYMBOLS))
     assert np.allclose(sums, 1, atol=1e-4)
     asked = ["", "abc", words[3] + " " + words[50], " ".join(words), "eeeeeeeeeeeeeeeeeeeeee", *filter(None, texts[:20])]
-    for text, got in zip(asked, tree.score([t.encode() for t in asked]), strict=True):
+    for text, got in zip(asked, tree.score([lm_score.words_of(t.encode()) for t in asked]), strict=True):
         assert math.isclose(plain_log10(kept, text), got, rel_tol=1e-5)
 
 
