@@ -266,12 +266,10 @@ def _pooled(groups: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "n", *_MEANS, *((F.col(f"u_{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c_{i}_{j}") for i, j in _PAIRS))
 
 
-def _leaning(groups: DataFrame, wider: DataFrame, keys: list[str], on: Column | None) -> DataFrame:
-    """``groups`` with means and covariances between their own, counted n times, and those of ``wider``, ``LEAN`` times."""
-    other = wider.select(*(F.col(c).alias(f"o_{c}") for c in wider.columns))
-    joined = groups.join(F.broadcast(other), on) if on is not None else groups.crossJoin(F.broadcast(other))
-    mixed = lambda c: ((F.col("n") * F.col(c) + LEAN * F.col(f"o_{c}")) / (F.col("n") + LEAN)).alias(c)
-    return joined.select(*keys, "n", *map(mixed, [*_MEANS, *_COVARIANCES]))
+def _leaning(groups: DataFrame, keys: list[str], wider) -> DataFrame:
+    """``groups`` with means and covariances between their own, counted n times, and the wider ones, ``wider(name)``, ``LEAN`` times."""
+    mixed = lambda c: ((F.col("n") * F.col(c) + LEAN * wider(c)) / (F.col("n") + LEAN)).alias(c)
+    return groups.select(*keys, "n", *map(mixed, [*_MEANS, *_COVARIANCES]))
 
 
 def fit(stats: DataFrame) -> DataFrame:
@@ -284,8 +282,12 @@ def fit(stats: DataFrame) -> DataFrame:
     # Languages and the whole: pooled from groups, a row each.
     everything = materialise(_pooled(groups, []).where("n is not null"), "groups")
     tongues = _pooled(groups, ["__lang"])
-    tongues = materialise(_leaning(tongues, everything, ["__lang"], None), "groups")
-    leaned = _leaning(groups, tongues, _KEY, F.col("__lang").eqNullSafe(F.col("o___lang")))
+    whole = everything.first()
+    tongues = _leaning(tongues, ["__lang"], lambda c: F.lit(None if whole is None else whole[c]).cast("double"))
+    tongues = materialise(tongues, "groups")
+    other = tongues.select(*(F.col(c).alias(f"o_{c}") for c in tongues.columns))
+    placed = groups.join(F.broadcast(other) if few else other, F.col("__lang").eqNullSafe(F.col("o___lang")))
+    leaned = _leaning(placed, _KEY, lambda c: F.col(f"o_{c}"))
     none = F.lit(None).cast("string")
     levels = [
         leaned.withColumn("__level", F.lit(0)),
