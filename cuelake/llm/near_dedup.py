@@ -15,9 +15,10 @@ Within a group of equal sketches every text is compared with the first and the l
 not with all others. Once components are known, groups that still hold several components compare
 one text of each (the first and the last) with the neighbouring components and with the group's
 first; this is done up to ``ROUNDS`` times, which saves work only. Then all pairs of a group that are still in
-different components, untried and of lengths that allow the similarity are compared, so every pair
-that shares a sketch ends up in one component or verified. That last step takes rows with the square
-of what is left of a group; it is dealt in blocks of about ``BLOCK`` x ``BLOCK`` texts.
+different components and of lengths that allow the similarity are compared, so every pair that shares
+a sketch ends up in one component or verified. That last step's comparisons grow with the square of
+what is left of a group; it is dealt in blocks of about ``BLOCK`` x ``BLOCK`` texts, which make their
+pairs themselves, and its rows are one for each text and block.
 
 No join or window needs the rows of a group, component or text in one task: what is one row a key
 (ends of groups, roots of roots, classes) is written before the many rows are joined to it, so that
@@ -39,6 +40,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -52,6 +54,7 @@ SKETCHES = 24
 SIMILARITY = 0.8
 ROUNDS = 2
 BLOCK = 500
+BLOCK_BYTES = 32 << 20
 
 _MIX = np.random.default_rng(10).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -238,28 +241,58 @@ def _next_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select(*_pairs(F.col("x"), F.col("y"))).where("a <> b").distinct()
 
 
-def _rest_pairs(members: DataFrame, roots: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
-    """All pairs of a group that are in different components and whose lengths allow the similarity."""
+def _compare_block(least: float):
+    """applyInPandas over a block (i, j) of a group: the links between texts of part i and texts of part j."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", ignore_index=True)
+        i, j, band = int(rows["i"][0]), int(rows["j"][0]), int(rows["band"][0])
+        part, size = rows["part"].to_numpy(), rows["size"].to_numpy()
+        _, root = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        keys = np.array(rows["keys"].tolist(), np.int64)[:, :band]
+        seqs: dict[int, np.ndarray] = {}
+
+        def seq(k: int) -> np.ndarray:
+            if k not in seqs:
+                seqs[k] = kmers(np.frombuffer(rows["seq"][k], np.uint16).astype(np.uint64))
+            return seqs[k]
+
+        links = []
+        for a in np.flatnonzero(part == i).tolist():
+            others = part == j
+            if i == j:
+                others[: a + 1] = False
+            near = np.minimum(size[a], size) >= least * np.maximum(size[a], size) - 1e-6
+            # A pair is compared in the first group that holds both.
+            others &= near & (root != root[a]) & ~(keys == keys[a]).any(axis=1)
+            for b in np.flatnonzero(others).tolist():
+                found = similarity(seq(a), seq(b), least)
+                if found > 0:
+                    links.append((*sorted((rows["node"][a], rows["node"][b])), found))
+        return pd.DataFrame(links, columns=["a", "b", "similarity"])
+
+    return run
+
+
+def _rest_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
+    """The links among all pairs of a group that are in different components.
+
+    Texts are dealt to the blocks (i, j), i <= j, of a group's parts, so rows are as many as texts times parts, and
+    pairs are compared where they meet. Parts are of some ``BLOCK`` texts and ``BLOCK_BYTES`` at most on average.
+    """
     group = ["band", "key"]
     words = (F.octet_length("seq") / 2).cast("int")
-    sizes = seqs.select("node", F.greatest(F.lit(1), words - (K - 1)).alias("size"))
+    sizes = seqs.select("node", F.greatest(F.lit(1), words - (K - 1)).alias("size"), F.octet_length("seq").cast("long").alias("bytes"))
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = (
-        placed.groupBy(*group)
-        .agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-        .where("r1 <> r2")
-        .select(*group, "parts")
-    )
-    several = materialise(several, "groups")
-    dealt = placed.join(several, group).join(sizes, "node")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = materialise(dealt, "groups")
-    # Block (i, j), i <= j, compares the texts of part i with those of part j.
-    one = dealt.select(*group, F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), *(F.col(c).alias(f"{c}1") for c in ("node", "root", "size")))
-    other = dealt.select(*group, F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"{c}2") for c in ("node", "root", "size")))
-    pairs = one.join(other, [*group, "i", "j"]).where("root1 <> root2 and (i <> j or node1 < node2)")
-    near = F.least("size1", "size2") >= least * F.greatest("size1", "size2") - 1e-6
-    return pairs.where(near).select(*_pairs(F.col("node1"), F.col("node2"))).distinct()
+    placed = materialise(placed.join(sizes, "node"), "groups")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    several = placed.groupBy(*group).agg(parts.alias("parts"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
+    several = materialise(several.select(*group, "parts"), "groups")
+    dealt = placed.join(several, group).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = dealt.select(*group, "node", "root", "size", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    blocks = blocks.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
+    blocks = blocks.join(seqs, "node").join(nodes.select("node", "keys"), "node")
+    return blocks.groupBy(*group, "i", "j").applyInPandas(_compare_block(least), "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
@@ -301,8 +334,7 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int =
         if found.isEmpty():
             break
         links = links.union(found)
-    rest = _rest_pairs(members, components(links), seqs, least).join(tried, ["a", "b"], "left_anti")
-    links = links.union(materialise(_verified(materialise(rest, "pairs"), seqs, least), "verified"))
+    links = links.union(materialise(_rest_links(members, components(links), nodes, seqs, least), "verified"))
     roots = components(links)
 
     degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count("*").alias("n_links"))

@@ -158,7 +158,9 @@ def test_near_duplicates_by_brute_force(spark):
     assert set(kept) == {top(i) for i in ids}
 
 
-def test_near_copies_in_a_crowded_group_meet(spark):
+@pytest.mark.parametrize("block", [500, 7])
+def test_near_copies_in_a_crowded_group_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(200)]
     texts = []
