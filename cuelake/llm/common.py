@@ -30,9 +30,11 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; an own one only where that is unset and Spark is one local process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
