@@ -23,6 +23,30 @@ def merged(states: DataFrame, key: str = "key", order: tuple[str, ...] = ("updat
     return states.groupBy(key).agg(*(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), by)).alias(c) for c in rest))
 
 
+def merged_outputs(states: DataFrame, key: str = "key", order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """Per key, the records of all its output paths as a map: updates name only the paths they change, the last of a path holds."""
+    each = states.select(key, F.explode("outputs").alias("path", "record"), F.struct(*order).alias("__by"))
+    last = each.groupBy(key, "path").agg(F.max_by("record", "__by").alias("record"))
+    return last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", "record"))).alias("outputs"))
+
+
+def checkpoints(inputs: DataFrame, results: DataFrame) -> DataFrame:
+    """Checkpoints of inputs (input, source_sha256, model, total, translation_key) from results so far (input, position from 0, translation).
+
+    A checkpoint holds the translations up to the first position without one; inputs without any have none.
+    The version is 3 with a translation_key, else 2.
+    """
+    has_text = F.coalesce(F.col("translation").rlike(r"\S"), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("input").orderBy("position")) - 1
+    leading = results.where(has_text).withColumn("__place", place).where(F.col("position") == F.col("__place"))
+    held = leading.groupBy("input").agg(F.sort_array(F.collect_list(F.struct("position", "translation"))).alias("rows"))
+    version = F.when(F.col("translation_key").isNotNull(), 3).otherwise(2)
+    translations = F.transform("rows", lambda r: r["translation"])
+    return inputs.join(held, "input").select(
+        "input", version.alias("version"), "source_sha256", "model", "total", translations.alias("translations"), "translation_key"
+    )
+
+
 def usable_checkpoints(checkpoints: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted inputs (source_sha256, model, total, translation_key) with the valid results that they can go on from.
 
@@ -61,7 +85,10 @@ def due_stage(inputs: DataFrame) -> DataFrame:
     Columns read: is_srt, force, retry_no_text; source_exists, source_valid, source_blank; output_exists,
     output_valid (against the source); and of the state joined by input: identity_matches,
     stt_matches, source_hash_matches, source_pending_matches, status, has_stt_identity, has_record
-    (an output record of this path), record_matches (its identities and hash agree).
+    (an output record of this path), record_matches (its identities and hash agree). Where there are such columns,
+    output_pending_matches (an output was announced for this path and these identities) and
+    pending_hash_matches (the file has the announced hash) let a run go on that ended between writing an
+    output and recording it; recovered says that the announcement decided.
     """
     c = F.col
     adopted = c("identity_matches") & ~c("force") & c("source_exists") & c("source_pending_matches")
@@ -71,11 +98,15 @@ def due_stage(inputs: DataFrame) -> DataFrame:
     reusable = c("is_srt") | (c("identity_matches") & c("source_valid") & stt & source_known)
     empty = ~c("source_exists") | (~c("source_valid") & c("source_blank"))
     kept_output = c("output_exists") & ~c("force")
+    announced = [c(n) if n in inputs.columns else F.lit(False) for n in ("output_pending_matches", "pending_hash_matches")]
+    pending = c("identity_matches") & reusable & ~c("force") & announced[0]
+    has_record = c("has_record") | pending
+    record_matches = F.when(pending, announced[1]).otherwise(c("record_matches"))
     decision = (
         F.when(c("is_srt") & ~c("source_valid"), "refuse_invalid_input")
         .when(adopted & ~c("source_valid") & ~c("source_blank"), "refuse_interrupted_source")
-        .when(kept_output & c("identity_matches") & reusable & c("record_matches") & c("output_valid"), "complete")
-        .when(kept_output & ~(c("identity_matches") & c("has_record")), "refuse_unknown_output")
+        .when(kept_output & c("identity_matches") & reusable & record_matches & c("output_valid"), "complete")
+        .when(kept_output & ~(c("identity_matches") & has_record), "refuse_unknown_output")
         .when(~c("is_srt") & ~c("force") & ~c("retry_no_text") & c("identity_matches") & empty & (status == "no_text") & stt, "no_text")
         .when(
             c("source_valid") & ~reusable & ~c("is_srt") & ~c("force")
@@ -90,7 +121,31 @@ def due_stage(inputs: DataFrame) -> DataFrame:
         .when(c("is_srt") | (reusable & ~c("force")), "source_ready")
         .otherwise("pending")
     )
-    return inputs.withColumn("decision", decision)
+    decided = inputs.withColumn("decision", decision)
+    return decided.withColumn("recovered", (F.col("decision") == "complete") & pending)
+
+
+def commit_checked(results: DataFrame, now: DataFrame) -> DataFrame:
+    """Results (input, video_identity, source_sha256 as read at the start) with commit: input and source are still the same.
+
+    ``now`` has the same columns as they are at the commit; an input that is gone isn't committed, a source of no hash is compared as such.
+    """
+    held = now.select("input", F.col("video_identity").alias("__v"), F.col("source_sha256").alias("__s"), F.lit(True).alias("__there"))
+    same = F.col("video_identity").eqNullSafe(F.col("__v")) & F.col("source_sha256").eqNullSafe(F.col("__s"))
+    return results.join(held, "input", "left").withColumn("commit", F.coalesce(F.col("__there"), F.lit(False)) & same).drop("__v", "__s", "__there")
+
+
+def checked_events(events: DataFrame, worker: str, order: list[str], generation: str, protocol: int = 1) -> DataFrame:
+    """Events (valid, protocol, generation, event) of each worker up to its first that isn't of this protocol and generation.
+
+    That one becomes a ``worker_fatal``; what the worker says after it is not read.
+    """
+    window = Window.partitionBy(worker).orderBy(*order)
+    good = F.col("valid") & (F.col("protocol") == protocol) & (F.col("generation") == generation)
+    marked = events.withColumn("__bad", ~F.coalesce(good, F.lit(False)))
+    earlier = F.coalesce(F.max("__bad").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    read = marked.withColumn("__late", earlier).where(~F.col("__late"))
+    return read.withColumn("event", F.when(F.col("__bad"), "worker_fatal").otherwise(F.col("event"))).drop("__bad", "__late")
 
 
 def current_events(events: DataFrame, workers: DataFrame) -> DataFrame:

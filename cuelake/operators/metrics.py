@@ -29,6 +29,13 @@ def exit_code(counts: DataFrame, stopped: bool = False) -> DataFrame:
     return counts.withColumn("unfinished", unfinished).withColumn("exit_code", code)
 
 
+def batch_metrics(jobs: DataFrame, batch: str, *, stopped: bool = False) -> DataFrame:
+    """What is written at a batch's end, a row a batch of jobs (phase, recognized, started and ended seconds)."""
+    counts = exit_code(phase_counts(jobs, batch), stopped).select(batch, "total", "completed", "failed", "unfinished", "exit_code")
+    more = jobs.groupBy(batch).agg(F.count_if("recognized").alias("recognized"), (F.max("ended") - F.min("started")).alias("elapsed_seconds"))
+    return counts.join(more, batch).withColumn("stopped", F.lit(stopped))
+
+
 def stage_durations(stages: DataFrame) -> DataFrame:
     """By stage: runs, successes, and seconds in all and at most."""
     return stages.groupBy("stage").agg(

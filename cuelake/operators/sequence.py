@@ -169,17 +169,53 @@ def drop_near_duplicates_native(segments: DataFrame, *, window_seconds: float =
     return files.select("file_id", F.inline(F.aggregate("rows", none, step)))
 
 
+_COUNT = "file_id string, total long, hallucinations long, duration double, segments long"
+_COUNT_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+
+
+def counts_of(rows: Iterator[tuple[str, str, float, float, bool]], window_seconds: float):
+    """(file, rows, invented ones, last end, rows left after both filters) of each file; ``rows`` come in file order."""
+    file, total, invented, duration, kept = None, 0, 0, None, 0
+    text, end = None, 0.0
+    for this, said, start, stop, bad in rows:
+        if total and this != file:
+            yield file, total, invented, duration, kept
+            total, invented, duration, kept, text = 0, 0, None, 0, None
+        file, total = this, total + 1
+        duration = stop if duration is None else max(duration, stop)
+        if bad:
+            invented += 1
+            continue
+        said = said.strip()
+        if text is None or said != text or start > end + window_seconds:
+            kept, text, end = kept + 1, said, stop
+    if total:
+        yield file, total, invented, duration, kept
+
+
+def summary_of(marked: DataFrame, window_seconds: float) -> DataFrame:
+    """A row of counts a file, in one pass over segments marked as ``__invented``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("file_id", "text", "start", "end", "__invented")
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        found = counts_of(rows, window_seconds)
+        while some := list(islice(found, 10_000)):
+            arrays = [pa.array(x, t) for x, t in zip(zip(*some, strict=True), _COUNT_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "total", "hallucinations", "duration", "segments"])
+
+    # An invented row's text isn't needed any more.
+    said = F.when(~F.col("__invented"), F.col("text")).alias("text")
+    ordered = _in_file_order(marked.select("file_id", "seq", said, "start", "end", "__invented"))
+    counts = ordered.mapInArrow(run, _COUNT)
+    return counts.withColumn("duplicates", F.col("total") - F.col("hallucinations") - F.col("segments"))
+
+
 def clean_segments(segments: DataFrame, *, mode: str = "conservative", window_seconds: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Segments after the phrase filter and then the duplicate filter, and a row of counts a file."""
-    marked = segments.withColumn("__invented", is_hallucination(F.col("text"), mode))
+    marked = segments.withColumn("__invented", F.coalesce(is_hallucination(F.col("text"), mode), F.lit(True)))
     filtered = marked.where(~F.col("__invented")).drop("__invented")
-    kept = drop_near_duplicates(filtered, window_seconds=window_seconds)
-    counts = marked.groupBy("file_id").agg(
-        F.count("*").alias("total"), F.count_if("__invented").alias("hallucinations"), F.max("end").alias("duration")
-    )
-    left = kept.groupBy("file_id").agg(F.count("*").alias("segments"))
-    summary = counts.join(left, "file_id", "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
-    return kept, summary.withColumn("duplicates", F.col("total") - F.col("hallucinations") - F.col("segments"))
+    return drop_near_duplicates(filtered, window_seconds=window_seconds), summary_of(marked, window_seconds)
 
 
 def index_rises(cues: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ FATAL = ("cuda", "out of memory", "cublas", "cudnn", "device-side")
 DISK_FULL = ("no space left on device", "not enough space on the disk", "disk full")
 #: Answers of a translation service after which asking on is of no use.
 BLOCKING_STATUS = (400, 401, 403, 404, 429)
+#: Seconds in which a worker has loaded its model.
+START_SECONDS = 1200.0
 LEAST_FREE_BYTES = 512 * 1024 * 1024
 
 
@@ -38,6 +40,19 @@ def advance(results: DataFrame) -> DataFrame:
     return results.withColumn("phase", F.when(c("success"), done).otherwise(failed))
 
 
+def overdue(running: DataFrame, local_seconds: float | None = None, start_seconds: float = START_SECONDS) -> DataFrame:
+    """``running`` (stage: init or stt, ready, elapsed seconds) with failure: init_timeout or stt_timeout, else null.
+
+    A worker that isn't ready in time has failed to start and may be started again; a recognition over its
+    limit (None: no limit) isn't, and nothing of it is committed.
+    """
+    c = F.col
+    late_start = ~c("ready") & (c("elapsed") > start_seconds)
+    late = (c("stage") == "stt") & c("ready") & (c("elapsed") > F.lit(local_seconds).cast("double"))
+    failure = F.when(late_start, "init_timeout").when(late, "stt_timeout")
+    return running.withColumn("failure", failure).withColumn("retry", F.when(failure.isNotNull(), failure == "init_timeout"))
+
+
 def pauses(results: DataFrame, batch: str = "batch") -> DataFrame:
     """By batch, which stages its results (stage, status, error, free_bytes) call to pause."""
     c = F.col

@@ -92,8 +92,8 @@ def normalize_text(spark, sf_dir):
     return docs.select("doc_id", text.normalized_text(F.col("text"), F.col("lang")).alias("line"))
 
 
-_SAID = """CASE doc_id % 6 WHEN 0 THEN 'Thank you for watching!!' WHEN 1 THEN '(' || substr(text, 1, 20) || ')'
-  WHEN 2 THEN 'please SUBSCRIBE ' || substr(text, 1, 10) WHEN 3 THEN '   ' WHEN 4 THEN '字幕制作…' ELSE substr(text, 1, 40) END"""
+_SAID = """CASE doc_id % 6 WHEN 0 THEN 'Thank you for watching!!' WHEN 1 THEN '(' || text || ')'
+  WHEN 2 THEN 'please SUBSCRIBE ' || text WHEN 3 THEN '   ' WHEN 4 THEN '字幕制作…' ELSE text END"""
 _PLAIN = ", ".join(f"'{p.strip(text.PHRASE_EDGES).lower()}'" for p in text.CONSERVATIVE_PHRASES)
 _INSIDE = " OR ".join(f"contains(lower(said), '{p.lower()}')" for p in text.AGGRESSIVE_PHRASES)
 
@@ -279,12 +279,12 @@ def output_collisions(spark, sf_dir):
 
 @query(
     "cache_lookup",
-    """WITH d AS (SELECT doc_id::VARCHAR AS path, sha256(substr(text, 1, 12)) AS key, doc_id FROM documents)
+    """WITH d AS (SELECT doc_id::VARCHAR AS path, sha256(concat_ws(':', lang, text)) AS key, doc_id FROM documents)
 SELECT d.path, d.key AS translation_identity, min(CASE WHEN o.path <> d.path THEN o.path END) AS cached_path
 FROM d LEFT JOIN (SELECT path, key FROM d WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0) o ON o.key = d.key GROUP BY ALL""",
 )
 def cache_lookup(spark, sf_dir):
-    return _cache_lookup(spark, sf_dir, F.sha2(F.substring("text", 1, 12), 256))
+    return _cache_lookup(spark, sf_dir, F.sha2(F.concat_ws(":", "lang", "text"), 256))
 
 
 def _cache_lookup(spark, sf_dir, key):

@@ -148,6 +148,12 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("key is not null")
 
 
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """Checkpoints of JSON lines with the input each belongs to; lines that aren't such objects are left out."""
+    rows = spark.read.schema(f"input string, {schemas.CHECKPOINT}").option("mode", "PERMISSIVE").json(path)
+    return rows.where("version is not null and source_sha256 is not null and translations is not null")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Worker events of JSON lines; valid says whether the line was an object with an event."""
     lines = spark.read.text(path)
