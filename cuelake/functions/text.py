@@ -6,10 +6,14 @@ those of Unicode as cue files use them, spelt out because ``trim`` and ``\\s`` k
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same characters one by one, for trimming.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 CJK = r"[\u3040-\u30ff\u3400-\u9fff]"
 CJK_LANGUAGES = r"^(ja|zh|cmn|yue)"
@@ -76,6 +80,7 @@ AGGRESSIVE_PHRASES = [
 PHRASE_EDGES = "。.!！?？…・-—~～"
 CLOSERS = ",.!?:;%)]}，。！？；：、"
 OPENERS = "([{¿¡"
+# Names of languages and codes of their speech.
 LANGUAGE_LABELS = {
     "ja": "日语",
     "en": "英语",
@@ -104,8 +109,13 @@ def _in_class(characters: str) -> str:
     return "".join("\\" + c if c in r"\]^[-&" else c for c in characters)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -124,8 +134,9 @@ def joins_without_space(language: Column, lines: Column) -> Column:
 
 def normalized_text(text: Column, language: Column) -> Column:
     """One line: East Asian lines are joined as they are, others with a space."""
-    lines = text_lines(text)
-    return F.when(joins_without_space(language, lines), F.array_join(lines, "")).otherwise(F.array_join(lines, " "))
+    return bind(
+        text_lines(text), lambda lines: F.when(joins_without_space(language, lines), F.array_join(lines, "")).otherwise(F.array_join(lines, " "))
+    )
 
 
 def join_words(words: Column, language: Column) -> Column:
@@ -145,28 +156,47 @@ def join_words(words: Column, language: Column) -> Column:
 
 
 def normalized_phrase(text: Column) -> Column:
-    edges = _in_class(PHRASE_EDGES)
-    return F.lower(F.regexp_replace(strip(text), rf"^[{edges}]+|[{edges}]+\z", ""))
+    return F.lower(F.btrim(strip(text), F.lit(PHRASE_EDGES)))
+
+
+def phrase_pattern(phrases: list[str]) -> str:
+    """A pattern that finds any of the phrases, as a tree of their characters: shared beginnings are tried once.
+
+    A phrase that holds another one is found by that one. What may come first is one class, so most places of a text cost one test.
+    """
+    least = sorted({p for p in phrases if not any(q != p and q in p for q in phrases)})
+
+    def tree(endings: list[str]) -> str:
+        # No ending is the beginning of another: that one would have been dropped.
+        if len(endings) == 1:
+            return re.escape(endings[0])
+        heads = sorted({e[0] for e in endings})
+        return "(?:" + "|".join(re.escape(h) + tree([e[1:] for e in endings if e[0] == h]) for h in heads) + ")"
+
+    return f"(?=[{_in_class(''.join(sorted({p[0] for p in least})))}]){tree(least)}"
 
 
 def is_hallucination(text: Column, mode: str = "conservative") -> Column:
     """Blank text always is; ``conservative`` compares whole phrases, ``aggressive`` also looks inside."""
     if mode not in ("off", "conservative", "aggressive"):
         raise ValueError(f"unknown filter mode: {mode}")
-    blank = is_blank(text)
-    if mode == "off":
-        return blank
     plain = [p.strip().strip(PHRASE_EDGES).casefold() for p in CONSERVATIVE_PHRASES]
-    found = blank | normalized_phrase(text).isin(plain)
-    if mode == "conservative":
-        return found
-    # One expression for all phrases, so the text is lowered and read once.
-    any_phrase = "|".join(rf"\Q{p.casefold()}\E" for p in AGGRESSIVE_PHRASES)
-    found = found | F.lower(text).rlike(any_phrase)
-    stripped = strip(text)
-    for opening, closing in ("()", "（）", "[]"):
-        found = found | (F.startswith(stripped, F.lit(opening)) & F.endswith(stripped, F.lit(closing)))
-    return found
+    inside = phrase_pattern([p.casefold() for p in AGGRESSIVE_PHRASES])
+
+    def judged(bare: Column) -> Column:
+        found = bare == ""
+        if mode == "off":
+            return found
+        # Only a text as short as a phrase, but for its edges, is lowered to be compared.
+        core = F.btrim(bare, F.lit(PHRASE_EDGES))
+        found = found | F.when(F.length(core) <= max(map(len, plain)), F.lower(core).isin(plain)).otherwise(False)
+        if mode == "conservative":
+            return found
+        for opening, closing in ("()", "（）", "[]"):
+            found = found | (F.startswith(bare, F.lit(opening)) & F.endswith(bare, F.lit(closing)))
+        return found | F.lower(bare).rlike(inside)
+
+    return bind(strip(text), judged)
 
 
 def is_language_tag(value: Column, *, allow_auto: bool = False) -> Column:

@@ -1,9 +1,8 @@
 """Order-dependent operators on words, segments and cues of a file.
 
 Segmentation and duplicate suppression depend on what was kept before, which no window function
-sees. Each exists as a fold of built-in functions over a sorted array (``*_native``, for short
-files: its cost grows with the square of the length) and as a loop over rows partitioned and
-sorted by file. The loop streams: it holds a segment at a time, whatever a file's length.
+sees. They are loops over rows partitioned and sorted by file, which stream: a task holds a segment
+at a time, whatever a file's length. ``long_files`` segments files that are too long for one task.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import schemas
-from cuelake.functions.text import CLOSERS, OPENERS, is_hallucination, join_words, strip
+from cuelake.functions.text import CLOSERS, OPENERS, is_hallucination
 
 MAX_CHARS, MAX_SECONDS, MAX_GAP = 25, 6.0, 0.5
 _SEGMENT_TYPES = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string())
@@ -94,40 +93,6 @@ def segment_words(
     return ordered.mapInArrow(run, schemas.SEGMENT)
 
 
-def segment_words_native(
-    words: DataFrame,
-    *,
-    max_chars: int = MAX_CHARS,
-    max_seconds: float = MAX_SECONDS,
-    max_gap: float = MAX_GAP,
-    language: str = "ja",
-) -> DataFrame:
-    """As ``segment_words``, without Python on the executors."""
-    tongue = F.lit(language)
-    files = words.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seq", "word", "start", "end"))).alias("words"))
-
-    def step(done: Column, w: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.concat(last["words"], F.array(w["word"]))
-        full = (
-            (F.size(done) == 0)
-            | (F.length(join_words(longer, tongue)) > max_chars)
-            | (w["end"] - last["start"] > F.lit(max_seconds))
-            | (w["start"] - last["end"] > F.lit(max_gap))
-        )
-        fresh = F.struct(w["start"].alias("start"), w["end"].alias("end"), F.array(w["word"]).alias("words"))
-        grown = F.struct(last["start"].alias("start"), w["end"].alias("end"), longer.alias("words"))
-        return F.when(full, F.concat(done, F.array(fresh))).otherwise(
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))
-        )
-
-    none = F.array().cast("array<struct<start: double, end: double, words: array<string>>>")
-    folded = files.select("file_id", F.posexplode(F.aggregate("words", none, step)).alias("seq", "s"))
-    return folded.select(
-        "file_id", "seq", F.col("s.start").alias("start"), F.col("s.end").alias("end"), join_words(F.col("s.words"), tongue).alias("text")
-    )
-
-
 def gap_sessions(rows: DataFrame, key: str, at: Column, order: list[str], max_gap: float) -> DataFrame:
     """``rows`` with session (from 1): a pause of more than ``max_gap`` begins a new one."""
     window = Window.partitionBy(key).orderBy(*order)
@@ -154,21 +119,6 @@ def drop_near_duplicates(segments: DataFrame, *, window_seconds: float = 0.1) ->
     return _in_file_order(segments).mapInArrow(run, segments.schema)
 
 
-def drop_near_duplicates_native(segments: DataFrame, *, window_seconds: float = 0.1) -> DataFrame:
-    """As ``drop_near_duplicates``, without Python on the executors."""
-    row = F.struct("seq", "start", "end", "text")
-    files = segments.groupBy("file_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def step(kept: Column, r: Column) -> Column:
-        last = F.element_at(kept, -1)
-        repeats = (F.size(kept) > 0) & (strip(last["text"]) == strip(r["text"])) & (r["start"] <= last["end"] + F.lit(window_seconds))
-        return F.when(repeats, kept).otherwise(F.concat(kept, F.array(r)))
-
-    types = dict(segments.dtypes)
-    none = F.array().cast("array<struct<" + ", ".join(f"{c}: {types[c]}" for c in ("seq", "start", "end", "text")) + ">>")
-    return files.select("file_id", F.inline(F.aggregate("rows", none, step)))
-
-
 _COUNT = "file_id string, total long, hallucinations long, duration double, segments long"
 _COUNT_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
 

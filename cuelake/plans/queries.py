@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import identity, text, timecodes
-from cuelake.operators import enrich, manifest, metrics, sequence, stages, validation
+from cuelake.operators import enrich, long_files, manifest, metrics, sequence, stages, validation
 from cuelake.sources import sinks, subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +172,35 @@ def segment_words(spark, sf_dir):
     return sequence.segment_words(document_words(spark, sf_dir), max_chars=42, max_seconds=6.0, max_gap=0.42, language="en")
 
 
+@query(
+    "segment_long_files",
+    f"""
+WITH w AS (SELECT doc_id, lang, regexp_split_to_array(text, ' ') AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+s AS (SELECT doc_id, lang, list_transform(generate_series(1, len(w)), lambda i: [{{
+        'start': doc_id * 20000.0::DOUBLE + (i - 1) * 0.5::DOUBLE, 'end': doc_id * 20000.0::DOUBLE + (i - 1) * 0.5::DOUBLE + least(length(w[i]), 9) * 0.05::DOUBLE,
+        'text': {_strip('w[i]')}}}]) AS s FROM w),
+r AS (SELECT doc_id, lang, list_reduce(s, lambda a, x:
+        CASE WHEN length({_joined('a[-1].text', 'x[1].text')}) > 42 OR x[1]."end" - a[-1].start > 6.0::DOUBLE
+                  OR x[1].start - a[-1]."end" > 0.42::DOUBLE THEN list_concat(a, x)
+        ELSE list_concat(a[1:len(a) - 1], [{{'start': a[-1].start, 'end': x[1]."end", 'text': {_joined('a[-1].text', 'x[1].text')}}}]) END) AS segs FROM s),
+f AS (SELECT lang, doc_id, generate_subscripts(segs, 1) AS k, unnest(segs) AS seg FROM r)
+SELECT lang AS file_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id, k) - 1)::INTEGER AS seq, seg.start AS start, seg."end" AS "end", seg.text AS text FROM f""",
+)
+def segment_long_files(spark, sf_dir):
+    """All documents of a language as one long file, each document after a pause."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null")
+    spoken = docs.select("lang", "doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    start = F.col("doc_id") * F.lit(20000.0) + F.col("at") * F.lit(0.5)
+    words = spoken.select(
+        F.col("lang").alias("file_id"),
+        (F.col("doc_id") * F.lit(1 << 24) + F.col("at")).alias("seq"),
+        "word",
+        start.alias("start"),
+        (start + F.least(F.length("word"), F.lit(9)) * F.lit(0.05)).alias("end"),
+    )
+    return long_files.segment_long_files(words, max_chars=42, max_seconds=6.0, max_gap=0.42, language="en")
+
+
 @query(
     "gap_sessions",
     """

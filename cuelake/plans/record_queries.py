@@ -11,10 +11,11 @@ import wave
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cuelake import shared
 from cuelake.functions import identity, text
 from cuelake.operators import enrich, manifest, metrics, sequence, stages, validation
-from cuelake.plans.queries import _CUES, _strip, conversation_cues, event_rows, query, table
-from cuelake.sources import subtitles
+from cuelake.plans.queries import _BLOCK, _CUES, _strip, conversation_cues, event_rows, query, table
+from cuelake.sources import positional, sinks, subtitle_sink, subtitles
 
 
 @query(
@@ -280,3 +281,31 @@ def recovered_outputs(spark, sf_dir):
     own = {"output_exists": n % 3 == 0, "output_pending_matches": n % 2 == 0, "pending_hash_matches": n % 5 != 0, "status": F.lit("source_ready")}
     inputs = table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in (yes | no | own).items()))
     return manifest.due_stage(inputs).select("doc_id", "decision", "recovered")
+
+
+_FILES = f"""{_CUES}, files AS (
+  SELECT file_id, string_agg({_BLOCK}, '' ORDER BY cue_index) AS srt FROM cues GROUP BY file_id)"""
+
+
+@query(
+    "path_hashes",
+    f"""WITH {_FILES}, raw AS (SELECT file_id, srt, hex(encode(srt)) AS h, octet_length(encode(srt)) AS size FROM files)
+SELECT file_id, size, sha256(srt) AS sha256, 'created' AS outcome, sha256(unhex(hex(encode(size::VARCHAR)) || substr(h, 1, 512) ||
+  CASE WHEN size > 256 THEN right(h, 512) ELSE '' END)) AS sample_sha256 FROM raw""",
+)
+def path_hashes(spark, sf_dir):
+    """Conversations written as subtitle files; their hashes read from where the files stand."""
+    folder = shared.new_folder(spark, "path-hashes")
+    written = subtitle_sink.write_subtitle_files(sinks.render(conversation_cues(spark, sf_dir)), folder)
+    paths = written.select("file_id", "outcome", F.concat(F.lit(folder + "/"), F.col("file_id")).alias("path"))
+    known = positional.file_identities(paths, sample=256).select("file_id", "outcome", "path", "size", "sample_sha256")
+    return positional.file_hashes(known.withColumnRenamed("size", "seen")).where("size = seen").select(
+        "file_id", "outcome", "size", "sha256", "sample_sha256"
+    )
+
+
+@query("path_order", "SELECT page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS number FROM pages")
+def path_order(spark, sf_dir):
+    """Pages numbered in order of their urls, as inputs are in order of their paths."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return shared.numbered(pages, [F.col("url"), F.col("page_id")], "number", "path-order").select("page_id", "number")

@@ -1,18 +1,13 @@
-"""Writing subtitle files and records."""
+"""Rendering subtitles and writing records. ``subtitle_sink`` writes the files."""
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import normalized_text, strip
 from cuelake.functions.timecodes import from_milliseconds, seconds_to_milliseconds
+from cuelake.sources import versioned
 
 
 def numbered_cues(segments: DataFrame) -> DataFrame:
@@ -57,62 +52,14 @@ def write_files(rendered: DataFrame, folder: str) -> None:
     rendered.write.mode("errorifexists").parquet(folder)
 
 
-def backup_name(path: str, label: str, stamp: str) -> str:
-    """``dir/stem.label.stamp.suffix`` of a path."""
-    folder, slash, name = path.rpartition("/")
-    stem, dot, suffix = name.rpartition(".")
-    return f"{folder}{slash}{stem or name}.{label}.{stamp}{dot + suffix if stem else ''}"
-
-
-def write_srt_files(rendered: DataFrame, folder: str, records: str, *, label: str = "backup", stamp: str = "") -> DataFrame:
-    """One UTF-8 file ``folder/file_id`` for each rendered text (file_id, srt), and a row (path, sha256, backup) for each.
-
-    ``folder`` is an address that pyarrow's file systems know. A file is written beside its place and moved there, so
-    readers see the old one or the new one whole. With a ``stamp`` a file of other content is kept under ``backup_name``
-    first. A repeated task finds its own content in place and leaves it. The rows are committed as Parquet to ``records``:
-    once they are there, so are all files. An empty table writes no file and no rows; null texts are written as empty files.
-    """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            rows = []
-            for name, text in zip(batch.column("file_id").to_pylist(), batch.column("srt").to_pylist(), strict=True):
-                path, content, kept = f"{root}/{name}", (text or "").encode(), None
-                there = store.get_file_info(path).type == fs.FileType.File
-                if there:
-                    with store.open_input_stream(path) as held:
-                        old = held.read()
-                    kept = backup_name(path, label, stamp) if stamp else None
-                    if kept and old != content and store.get_file_info(kept).type == fs.FileType.NotFound:
-                        store.move(path, kept)
-                if not there or old != content:
-                    store.create_dir(path.rpartition("/")[0], recursive=True)
-                    beside = f"{path}.{uuid.uuid4().hex}.tmp"
-                    with store.open_output_stream(beside) as out:
-                        out.write(content)
-                    store.move(beside, path)
-                if kept and store.get_file_info(kept).type == fs.FileType.NotFound:
-                    kept = None
-                rows.append((path, hashlib.sha256(content).hexdigest(), kept))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("path", "sha256", "backup"), r, strict=True)) for r in rows],
-                pa.schema([("path", pa.string()), ("sha256", pa.string()), ("backup", pa.string())]),
-            )
-
-    done = rendered.select(F.col("file_id").cast("string").alias("file_id"), "srt").mapInArrow(write, "path string, sha256 string, backup string")
-    done.write.mode("errorifexists").parquet(records)
-    return rendered.sparkSession.read.parquet(records)
-
-
 def write_checkpoints(checkpoints: DataFrame, folder: str) -> None:
     """Checkpoints (schemas.CHECKPOINT and input) as JSON lines in a new folder, committed by Spark: all or none appear."""
     checkpoints.write.mode("errorifexists").json(folder)
 
 
 def write_metrics(metrics: DataFrame, folder: str) -> None:
-    """A batch's metrics as JSON lines in place of those before."""
-    metrics.write.mode("overwrite").json(folder)
+    """A batch's metrics as JSON lines in place of those before, at one blow (``versioned``)."""
+    versioned.replace(metrics, folder, "json")
 
 
 def append_log(events: DataFrame, folder: str) -> None:

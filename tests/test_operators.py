@@ -6,7 +6,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.operators import enrich, manifest, metrics, sequence, validation
+from cuelake.operators import enrich, long_files, manifest, metrics, sequence, validation
 
 SEGMENTS = "file_id string, seq int, start double, end double, text string"
 WORDS = "file_id string, seq int, word string, start double, end double"
@@ -16,28 +16,15 @@ CUES = "file_id string, cue_index int, start_ms long, end_ms long, text string"
 def test_segment_limits(spark):
     rows = [("f", 0, "今日", 0.0, 0.5), ("f", 1, "は", 0.6, 1.0), ("f", 2, "晴", 2.0, 2.4), ("f", 3, "れです", 2.5, 4.5)]
     words = spark.createDataFrame(rows, WORDS)
-    for run in (sequence.segment_words, sequence.segment_words_native):
+    for run in (sequence.segment_words, long_files.segment_long_files):
         found = run(words, max_chars=4, max_seconds=1.5, max_gap=0.5).orderBy("seq").collect()
         assert [(r["start"], r["end"], r["text"]) for r in found] == [(0.0, 1.0, "今日は"), (2.0, 2.4, "晴"), (2.5, 4.5, "れです")]
 
 
-def test_both_segmentations_agree(spark):
-    rng = random.Random(5)
-    rows, now = [], 0.0
-    for k in range(300):
-        now += rng.choice([0.1, 0.3, 0.9])
-        rows.append((f"f{k % 3}", k, rng.choice(["a", "bb,", ".", "(", " ", "longer"]), now, now + 0.2))
-    words = spark.createDataFrame(rows, WORDS)
-    options = dict(max_chars=12, max_seconds=2.0, max_gap=1.0, language="en")
-    one, other = (sorted(map(tuple, run(words, **options).collect())) for run in (sequence.segment_words, sequence.segment_words_native))
-    assert one == other
-
-
 def test_duplicates_are_judged_by_the_last_kept(spark):
     rows = [("f", 0, 0.0, 1.0, "x"), ("f", 1, 1.05, 2.0, " x"), ("f", 2, 2.05, 3.0, "x"), ("f", 3, 3.05, 4.0, "y")]
     segments = spark.createDataFrame(rows, SEGMENTS)
-    for run in (sequence.drop_near_duplicates, sequence.drop_near_duplicates_native):
-        assert sorted(r["seq"] for r in run(segments).collect()) == [0, 2, 3]
+    assert sorted(r["seq"] for r in sequence.drop_near_duplicates(segments).collect()) == [0, 2, 3]
 
 
 def test_filter_comes_before_duplicates(spark):

@@ -1,39 +1,9 @@
-"""Files, checkpoints and metrics written and read again."""
+"""Checkpoints, metrics and logs written and read again."""
 
-from pathlib import Path
+import pytest
 
 from cuelake.operators import manifest, metrics
-from cuelake.sources import sinks, subtitles
-
-CUES = "file_id string, cue_index int, start_ms bigint, end_ms bigint, text string"
-
-
-def test_subtitle_files_round_trip(spark, tmp_path):
-    cues = [("a/one.srt", 1, 0, 900, "Hé"), ("a/one.srt", 2, 1000, 1900, "two\nlines"), ("b.srt", 1, 5, 3_600_000_000, "日本")]
-    rendered = sinks.render(spark.createDataFrame(cues, CUES))
-    out = sinks.write_srt_files(rendered, f"file://{tmp_path}/out", f"file://{tmp_path}/records")
-    assert {r["path"].removeprefix(f"{tmp_path}/out/") for r in out.collect()} == {"a/one.srt", "b.srt"}
-    assert (tmp_path / "out/b.srt").read_text(encoding="utf-8") == "1\n00:00:00,005 --> 1000:00:00,000\n日本\n\n"
-    read = subtitles.read_cues(spark, f"file://{tmp_path}/out").collect()
-    assert sorted((r["file_id"].partition("/out/")[2], *r[1:5]) for r in read) == cues
-    assert not list(tmp_path.rglob("*.tmp"))
-
-
-def test_replaced_files_are_kept_once(spark, tmp_path):
-    def write(text, at, stamp="s1"):
-        rows = spark.createDataFrame([("x.de.srt", text)], "file_id string, srt string")
-        return sinks.write_srt_files(rows, f"file://{tmp_path}/out", f"file://{tmp_path}/{at}", stamp=stamp).first()
-
-    assert write("old", 1)["backup"] is None
-    kept = write("new", 2)["backup"]
-    assert Path(kept).name == "x.de.backup.s1.srt" and Path(kept).read_text() == "old"
-    # As a repeated task of the same run: nothing is moved twice.
-    assert write("new", 3)["backup"] == kept
-    assert (tmp_path / "out/x.de.srt").read_text() == "new" and Path(kept).read_text() == "old"
-    assert len(list((tmp_path / "out").iterdir())) == 2
-    none = spark.createDataFrame([], "file_id string, srt string")
-    assert sinks.write_srt_files(none, f"file://{tmp_path}/none", f"file://{tmp_path}/4").count() == 0
-
+from cuelake.sources import sinks, subtitles, versioned
 
 def test_checkpoints_written_and_resumed(spark, tmp_path):
     inputs = spark.createDataFrame(
@@ -54,7 +24,8 @@ def test_metrics_replace_those_before(spark, tmp_path):
     jobs = spark.createDataFrame([(1, "complete", True, 0.0, 5.0), (1, "failed", False, 2.0, 9.0)], "batch int, phase string, recognized boolean, started double, ended double")
     for _ in range(2):
         sinks.write_metrics(metrics.batch_metrics(jobs, "batch"), f"file://{tmp_path}/metrics")
-    (row,) = spark.read.json(f"file://{tmp_path}/metrics").collect()
+    schema = "total long, failed long, unfinished long, exit_code long, recognized long, elapsed_seconds double"
+    (row,) = versioned.read(spark, f"file://{tmp_path}/metrics", schema).collect()
     assert (row["total"], row["failed"], row["unfinished"], row["exit_code"], row["recognized"], row["elapsed_seconds"]) == (2, 1, 0, 1, 1, 9.0)
 
 
@@ -62,3 +33,21 @@ def test_log_is_appended(spark, tmp_path):
     for n in range(2):
         sinks.append_log(spark.createDataFrame([(n, "begun")], "time long, event string"), f"file://{tmp_path}/log")
     assert spark.read.json(f"file://{tmp_path}/log").count() == 2
+
+
+def test_versions_hold_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    folder, schema = f"file://{tmp_path}/t", "n long"
+    assert versioned.read(spark, folder, schema).collect() == []
+    first = versioned.replace(spark.range(3).toDF("n"), folder)
+    late = versioned.read(spark, folder, schema)
+    with monkeypatch.context() as patch:
+        patch.setattr(versioned, "put", lambda *_: (_ for _ in ()).throw(OSError("ended before the pointer moved")))
+        with pytest.raises(OSError):
+            versioned.replace(spark.range(9).toDF("n"), folder)
+    assert versioned.read(spark, folder, schema).count() == 3 and versioned.pointer(folder)["version"] == first
+    second = versioned.replace(spark.range(5).toDF("n"), folder, note={"upto": 7}, base=first, checked=True)
+    assert versioned.pointer(folder) == {"upto": 7, "version": second, "form": "parquet"} and late.count() == 3
+    with pytest.raises(RuntimeError):
+        versioned.replace(spark.range(1).toDF("n"), folder, base=first, checked=True)
+    versioned.replace(spark.range(6).toDF("n"), folder)
+    assert versioned.read(spark, folder, schema).count() == 6 and len([x for x in (tmp_path / "t").iterdir() if x.is_dir()]) == 2
