@@ -6,61 +6,66 @@ A sketch is made of the ``PICKED`` k-mers of least hash, kept in the order of th
 sketches therefore need the same k-mers in the same order, which makes them sensitive to edit
 similarity. Every text has ``SKETCHES`` of them; texts that share one are candidates.
 
-A candidate pair is verified by aligning the two k-mer sequences within a band around the
-diagonal: the longest common subsequence m gives the similarity m / (n1 + n2 - m), and pairs of
-``SIMILARITY`` or more are linked. Classes are the connected components of links and exact copies.
+A candidate pair is verified by aligning the two word sequences within a band around the diagonal:
+with m words aligned, the similarity is m / max(n1, n2), the share of the longer text that stands in the
+other one in the same order. Pairs of ``SIMILARITY`` or more are linked. Classes are the connected
+components of links and exact copies.
 
 Skew. Exact copies are first merged by their digest (partial aggregates, whatever their number).
 Within a group of equal sketches every text is compared with the first and the last of the group,
-not with all others. Once components are known, groups that still hold several components compare
-one text of each (the first and the last) with the neighbouring components and with the group's
-first; this is done up to ``ROUNDS`` times, which saves work only. Then all pairs of a group that are still in
-different components and of lengths that allow the similarity are compared, so every pair that shares
-a sketch ends up in one component or verified. That last step's comparisons grow with the square of
-what is left of a group; it is dealt in blocks of about ``BLOCK`` x ``BLOCK`` texts, which make their
-pairs themselves, and its rows are one for each text and block.
+not with all others. Once components are known, what is left are the pairs of a group that are in different
+components. Most texts of a crowded group are in one component by then, and these need no comparison among
+each other: the others are compared with each other and with these, in blocks of about ``BLOCK`` x ``BLOCK``
+texts, which make their pairs themselves. A block links on as it goes, so texts that have met aren't aligned
+again, and aligns only pairs that have enough words in common whatever their order (counts of words in 256
+buckets, an upper bound). So every pair that shares a sketch ends up in one component or verified; nothing is
+capped. That step's comparisons still grow with the product of a group's main component and the rest.
 
 No join or window needs the rows of a group, component or text in one task: what is one row a key
 (ends of groups, roots of roots, classes) is written before the many rows are joined to it, so that
-Spark can split a key with many of them, and neighbouring components are sought within parts of
-about ``BLOCK`` components of a group.
+Spark can split a key with many of them.
 
-Pairs of similarity 0.8 share a sketch with probability 1 - (1 - 0.8**PICKED)**SKETCHES, above
-0.9999.
+Two texts whose k-mers have Jaccard similarity J share a sketch with probability 1 - (1 - J**PICKED)**SKETCHES or
+somewhat more: above 0.998 for J = 0.5, where some 7 % of the words are changed one by one, and 0.62 for
+J = 0.2, 20 % changed one by one; edits that stand together break fewer k-mers.
 
 Defined results: null texts are in classes of their own; equal texts, empty ones too, are copies
 of each other; texts without words but for that never resemble each other; texts of fewer than K
 words are a single k-mer, so resemble only texts of the same words; repeated rows (same id, same
-text) are copies; an empty table gives an empty result; other columns are ignored.
+text) are copies; a similarity of exactly ``SIMILARITY`` links; an empty table gives an empty result; other
+columns are ignored. In alignments a word is the low 16 bits of its hash.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORDS, materialise, slices, texts_as_bytes
 
 K = 5
-PICKED = 5
+PICKED = 2
 SKETCHES = 24
 SIMILARITY = 0.8
-ROUNDS = 2
 BLOCK = 500
 BLOCK_BYTES = 32 << 20
+#: Buckets of the word counts that bound what two texts have in common.
+BUCKETS = 256
+#: Words of a text that are aligned between two looks at whether the similarity is still within reach.
+ROWS = 512
 
 _MIX = np.random.default_rng(10).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def word_numbers(text: bytes) -> np.ndarray:
-    """A number for each word. Their low 16 bits do for verification: five of them make a k-mer."""
+    """A number for each word. Their low 16 bits do for verification."""
     words = text.translate(WORDS).split()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -108,34 +113,67 @@ def sketches(seq: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def similarity(one: np.ndarray, other: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two k-mer sequences by alignment; 0 where it cannot reach ``least``.
+def _places(window: np.ndarray, wanted: set[int]) -> dict[int, int]:
+    """For each wanted word the places where it stands in the window, as bits of a number."""
+    if len(window) <= 4096:
+        bits: dict[int, int] = defaultdict(int)
+        for place, word in enumerate(window.tolist()):
+            if word in wanted:
+                bits[word] |= 1 << place
+        return bits
+    at: dict[int, list[int]] = defaultdict(list)
+    for place in np.flatnonzero(np.isin(window, np.fromiter(wanted, window.dtype, len(wanted)))).tolist():
+        at[int(window[place])].append(place)
+    flags, out = np.zeros(len(window), np.uint8), {}
+    for word, places in at.items():
+        flags[places] = 1
+        out[word] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+        flags[places] = 0
+    return out
+
 
-    k-mers are unique within a text, so common ones give at most one pair of places each, and the
-    longest common subsequence is the longest increasing run of places. Places further apart than
-    the band can't be in an alignment of that similarity and are left out.
+def aligned(one: np.ndarray, other: np.ndarray, need: float, band: int) -> int:
+    """The length of the longest common subsequence whose places differ by ``band`` at most; less where ``need`` is out of reach.
+
+    A row of the alignment's table is one number whose zero bits are the places where the length rises; a row follows from the one
+    before by an addition. Of each stretch of ``ROWS`` rows, only the columns of the band take part.
     """
-    n1, n2 = len(one), len(other)
-    if not n1 or not n2 or min(n1, n2) < least * max(n1, n2) - 1e-6:
-        return 0.0
-    _, at1, at2 = np.intersect1d(one, other, assume_unique=True, return_indices=True)
-    need = least * (n1 + n2) / (1 + least) - 1e-6
-    if len(at1) < need:
+    n, m = len(one), len(other)
+    rises = (1 << n) - 1
+    for at in range(0, m, ROWS):
+        rows = other[at : at + ROWS].tolist()
+        low, high = max(0, at - band), min(n, at + len(rows) + band)
+        if low >= high:
+            break
+        bits, full = _places(one[low:high], set(rows)), (1 << (high - low)) - 1
+        row = (rises >> low) & full
+        for word in rows:
+            if found := bits.get(word):
+                met = row & found
+                row = ((row + met) | (row - met)) & full
+        rises = (rises & ~(full << low)) | (row << low)
+        if n - rises.bit_count() + m - at - len(rows) < need:
+            break
+    return n - rises.bit_count()
+
+
+def similarity(one: np.ndarray, other: np.ndarray, least: float = SIMILARITY) -> float:
+    """Share of the longer word sequence that is aligned with the other; 0 where it cannot reach ``least``."""
+    longer = max(len(one), len(other))
+    shorter = min(len(one), len(other))
+    # Thresholds are met by equality, whatever the rounding of the product.
+    need = least * longer - 1e-6
+    if not shorter or shorter < need:
         return 0.0
     # An alignment of m pairs passes over n1 - m and n2 - m places: no pair is further off the diagonal.
-    band = max(n1, n2) - need
-    order = np.argsort(at1)
-    near = np.abs(at1 - at2)[order] <= band
-    tails: list[int] = []
-    for place in at2[order][near].tolist():
-        k = bisect_left(tails, place)
-        if k == len(tails):
-            tails.append(place)
-        else:
-            tails[k] = place
-    m = len(tails)
-    found = m / (n1 + n2 - m)
-    return found if found >= least - 1e-9 else 0.0
+    band = int(longer - need)
+    same = one[:shorter] == other[:shorter]
+    head = shorter if same.all() else int(np.argmin(same))
+    same = one[len(one) - shorter + head :][::-1] == other[len(other) - shorter + head :][::-1]
+    tail = len(same) if same.all() else int(np.argmin(same))
+    m = head + tail
+    m += aligned(one[head : len(one) - tail], other[head : len(other) - tail], need - m, band)
+    return m / longer if m >= need else 0.0
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +197,7 @@ def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ones, others = (batch.column(c).to_pylist() for c in ("seq_a", "seq_b"))
-            found = [
-                similarity(kmers(np.frombuffer(a, np.uint16).astype(np.uint64)), kmers(np.frombuffer(b, np.uint16).astype(np.uint64)), least)
-                for a, b in zip(ones, others, strict=True)
-            ]
+            found = [similarity(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), least) for a, b in zip(ones, others, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
             )
@@ -223,79 +258,80 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return to_first.union(to_last).distinct()
 
 
-def _next_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """For groups with several components: each component's first and last with the next component's and the group's first's."""
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = F.struct("root", "first", "last")
-    parts = placed.groupBy("band", "key", "root").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    parts = materialise(parts, "group-parts")
-    heads = parts.groupBy("band", "key").agg(F.count("*").alias("of"), F.min(ends).alias("head")).where("of > 1")
-    heads = materialise(heads, "group-ends")
-    parts = parts.join(heads, ["band", "key"])
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("root"), F.ceil(F.col("of") / BLOCK)))
-    ordered = Window.partitionBy("band", "key", "part").orderBy("root")
-    parts = parts.withColumn("before", F.lag(ends).over(ordered))
-    others = F.array("before.first", "before.last", "head.first", "head.last")
-    pairs = parts.select("root", F.explode(F.array_distinct(F.array("first", "last"))).alias("x"), F.array_compact(F.array_distinct(others)).alias("others"), "head")
-    pairs = pairs.select("x", F.explode("others").alias("y"), "root", "head").where("root <> head.root or (y <> head.first and y <> head.last)")
-    return pairs.select(*_pairs(F.col("x"), F.col("y"))).where("a <> b").distinct()
-
-
 def _compare_block(least: float):
-    """applyInPandas over a block (i, j) of a group: the links between texts of part i and texts of part j."""
+    """applyInPandas over a block (i, j) of a group: links between texts of part i and texts of part j.
+
+    Pairs that links of the block connect already aren't aligned any more.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
         i, j, band = int(rows["i"][0]), int(rows["j"][0]), int(rows["band"][0])
-        part, size = rows["part"].to_numpy(), rows["size"].to_numpy()
+        part = rows["part"].to_numpy()
         _, root = np.unique(rows["root"].to_numpy(), return_inverse=True)
         keys = np.array(rows["keys"].tolist(), np.int64)[:, :band]
-        seqs: dict[int, np.ndarray] = {}
-
-        def seq(k: int) -> np.ndarray:
-            if k not in seqs:
-                seqs[k] = kmers(np.frombuffer(rows["seq"][k], np.uint16).astype(np.uint64))
-            return seqs[k]
-
+        seqs = [np.frombuffer(x, np.uint16) for x in rows["seq"]]
+        size = np.array([len(x) for x in seqs])
+        counts = np.stack([np.bincount(x % BUCKETS, minlength=BUCKETS) for x in seqs]).astype(np.int32)
         links = []
         for a in np.flatnonzero(part == i).tolist():
             others = part == j
             if i == j:
                 others[: a + 1] = False
-            near = np.minimum(size[a], size) >= least * np.maximum(size[a], size) - 1e-6
+            need = least * np.maximum(size[a], size) - 1e-6
+            others &= (root != root[a]) & (np.minimum(size[a], size) >= need)
+            near = np.flatnonzero(others)
             # A pair is compared in the first group that holds both.
-            others &= near & (root != root[a]) & ~(keys == keys[a]).any(axis=1)
-            for b in np.flatnonzero(others).tolist():
-                found = similarity(seq(a), seq(b), least)
-                if found > 0:
+            near = near[~(keys[near] == keys[a]).any(axis=1)]
+            near = near[np.minimum(counts[near], counts[a]).sum(axis=1) >= need[near]]
+            for b in near.tolist():
+                if root[b] != root[a] and (found := similarity(seqs[a], seqs[b], least)) > 0:
                     links.append((*sorted((rows["node"][a], rows["node"][b])), found))
+                    root[root == root[b]] = root[a]
         return pd.DataFrame(links, columns=["a", "b", "similarity"])
 
     return run
 
 
 def _rest_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
-    """The links among all pairs of a group that are in different components.
+    """Links that join what is connected among the texts of a group that are in different components.
 
-    Texts are dealt to the blocks (i, j), i <= j, of a group's parts, so rows are as many as texts times parts, and
-    pairs are compared where they meet. Parts are of some ``BLOCK`` texts and ``BLOCK_BYTES`` at most on average.
+    The texts of a group's largest component are the main ones; all others are compared with each other and with the main ones.
+    Parts are of some ``BLOCK`` texts and ``BLOCK_BYTES`` at most on average. Other texts are dealt to blocks (i, j), i <= j, of their
+    parts and to blocks (i, main j); a main text to one block for each part of the others, which are few where the main ones are many.
     """
     group = ["band", "key"]
-    words = (F.octet_length("seq") / 2).cast("int")
-    sizes = seqs.select("node", F.greatest(F.lit(1), words - (K - 1)).alias("size"), F.octet_length("seq").cast("long").alias("bytes"))
+    sizes = seqs.select("node", F.octet_length("seq").cast("long").alias("bytes"))
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialise(placed.join(sizes, "node"), "groups")
-    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    several = placed.groupBy(*group).agg(parts.alias("parts"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
-    several = materialise(several.select(*group, "parts"), "groups")
-    dealt = placed.join(several, group).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    blocks = dealt.select(*group, "node", "root", "size", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    parts = placed.groupBy(*group, "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = materialise(parts, "group-parts")
+    whole = parts.groupBy(*group).agg(
+        F.count("*").alias("of"), F.max(F.struct("n", "bytes", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")
+    ).where("of > 1")
+    many = lambda n, size: F.ceil(F.greatest(F.lit(1), n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    several = materialise(
+        whole.select(
+            *group,
+            F.col("main.root").alias("main"),
+            many(F.col("main.n"), F.col("main.bytes")).alias("mains"),
+            many(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others"),
+        ),
+        "groups",
+    )
+    dealt = placed.join(several, group).withColumn("is_main", F.col("root") == F.col("main"))
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    # Parts of the main component have negative numbers, from -1 down.
+    dealt = dealt.withColumn("part", F.when(F.col("is_main"), -1 - part).otherwise(part))
+    beside = F.sequence(F.lit(0), F.col("others") - 1)
+    beside = F.when(F.col("is_main"), beside).otherwise(F.concat(beside, F.sequence(F.lit(-1), -F.col("mains"))))
+    blocks = dealt.select(*group, "node", "root", "part", F.explode(beside).alias("other"))
     blocks = blocks.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
     blocks = blocks.join(seqs, "node").join(nodes.select("node", "keys"), "node")
     return blocks.groupBy(*group, "i", "j").applyInPandas(_compare_block(least), "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     """doc_id, text_md5 (binary; null for a null text), class_id (the least id of the class), class_texts
     (different texts in the class), n_links (verified links of the row's text, of the pairs that had to be
     compared: those within a class that is connected already are left out) and representative (the row to
@@ -323,17 +359,6 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, rounds: int =
 
     pairs = materialise(_first_pairs(members), "pairs")
     links = materialise(_verified(pairs, seqs, least), "verified")
-    tried = pairs
-    for _ in range(rounds):
-        roots = components(links)
-        more = materialise(_next_pairs(members, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        found = materialise(_verified(more, seqs, least), "verified")
-        tried = tried.union(more)
-        if found.isEmpty():
-            break
-        links = links.union(found)
     links = links.union(materialise(_rest_links(members, components(links), nodes, seqs, least), "verified"))
     roots = components(links)
 

@@ -14,7 +14,7 @@ import corpus_pipeline
 from cuelake.llm import near_dedup, packing, quality_classifier, quality_rules, sharding
 from cuelake.llm import queries as q
 
-from .helpers import PROSE, documents, folder, odd_rows, rows, spaced_words
+from .helpers import PROSE, documents, folder, odd_rows, plain_words, rows, spaced_words
 from .test_labels import plain_scores
 from .test_texts import plain_estimates, plain_overlap, plain_rules
 
@@ -125,6 +125,38 @@ def edited(rng, words, n):
     return words
 
 
+def plain_similarity(one, other):
+    """Share of the longer word list that is aligned with the other one, by the plain table; 0 below 0.8."""
+    longer = max(len(one), len(other))
+    if not one or not other or sum((Counter(one) & Counter(other)).values()) * 5 < longer * 4:
+        return 0.0
+    places = np.array(list(map(hash, other)))
+    row = np.zeros(len(other) + 1, np.int64)
+    for word in one:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (places == hash(word))))
+    return row[-1] / longer if row[-1] * 5 >= longer * 4 else 0.0
+
+
+def plain_classes(texts, linked=plain_similarity):
+    """The class of each key of ``texts`` (its least member), and the linked pairs of different texts."""
+    words, root, links = {k: plain_words(t) for k, t in texts.items()}, {k: k for k in texts}, []
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(texts)
+    for n, a in enumerate(keys):
+        for b in keys[:n]:
+            if texts[a] == texts[b] or linked(words[a], words[b]) > 0:
+                if texts[a] != texts[b]:
+                    links.append((b, a))
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in texts}, links
+
+
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(11)
     texts = []
@@ -137,25 +169,25 @@ def test_near_duplicates_by_brute_force(spark):
     every = [(k, t, "en", "a", 1) for k, t in enumerate(texts)] + [(1000 + (r[0] or 0), *r[1:]) for r in odd_rows()]
     found = near_dedup.near_duplicates(documents(spark, every)).collect()
     assert len(found) == len(every)
-    seqs = {i: near_dedup.kmers(near_dedup.word_numbers(t.encode())) for i, t, *_ in every if t is not None}
-    root = {i: i for i in seqs}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(seqs)
-    same_text = {i: t for i, t, *_ in every}
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if same_text[a] == same_text[b] or near_dedup.similarity(seqs[a], seqs[b]) > 0:
-                x, y = sorted((top(a), top(b)))
-                root[y] = x
+    wanted, _ = plain_classes({i: t for i, t, *_ in every if t is not None})
     for r in found:
-        assert r["class_id"] == (top(r["doc_id"]) if r["text_md5"] is not None else r["doc_id"])
+        assert r["class_id"] == (wanted[r["doc_id"]] if r["text_md5"] is not None else r["doc_id"])
     kept = Counter(r["class_id"] for r in found if r["representative"] and r["text_md5"] is not None)
-    assert set(kept) == {top(i) for i in ids}
+    assert set(kept) == set(wanted.values()) and set(kept.values()) == {1}
+
+
+@pytest.mark.parametrize("least, share", [(0.8, 0.9), (0.9, 0.97)])
+def test_recall_against_alignments_of_all_pairs(spark, least, share):
+    """The measure is the table of a plain alignment over all pairs of a whole table, not the operator's own."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    wanted, links = plain_classes(texts)
+    words = {k: plain_words(t) for k, t in texts.items()}
+    links = [(a, b) for a, b in links if plain_similarity(words[a], words[b]) >= least]
+    met = sum(found[a] == found[b] for a, b in links)
+    assert len(links) > 20 and met >= share * len(links), (met, len(links))
+    # Whatever is in one class is connected by links of all pairs.
+    assert all(wanted[k] == wanted[c] for k, c in found.items())
 
 
 @pytest.mark.parametrize("block", [500, 7])
@@ -165,27 +197,53 @@ def test_near_copies_in_a_crowded_group_meet(spark, monkeypatch, block):
     base = [f"w{k}" for k in range(200)]
     texts = []
     for family in range(60):
-        at = rng.randrange(170)
-        kind = base[:at] + [f"f{family}x{k}" for k in range(25)] + base[at + 25 :]
+        # Two thirds are the base's own, so sketches of all families are often equal while families are no copies.
+        own = rng.sample(range(200), 66)
+        kind = [f"f{family}x{k}" if k in own else w for k, w in enumerate(base)]
+        at = rng.randrange(100)
+        kind = base[:at] + kind[at : at + 60] + [f"f{family}y{k}" for k in range(70)] + base[at + 130 :]
         texts += [" ".join(kind), " ".join(edited(rng, kind, 3))]
+    texts += [" ".join(edited(rng, base, 4)) for _ in range(60)]
     found = near_dedup.near_duplicates(documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]))
     classes = {r["doc_id"]: r["class_id"] for r in found.collect()}
-    seqs = [near_dedup.kmers(near_dedup.word_numbers(t.encode())) for t in texts]
-    links = [(a, b) for b in range(len(texts)) for a in range(b) if near_dedup.similarity(seqs[a], seqs[b]) > 0]
-    assert len(links) >= 60 and len(set(classes.values())) > 10
-    assert all(classes[a] == classes[b] for a, b in links)
+    wanted, links = plain_classes(dict(enumerate(texts)))
+    assert len(links) >= 100 and len(set(wanted.values())) > 10
+    assert classes == wanted
 
 
 def test_alignment_similarity():
-    seq = lambda t: near_dedup.kmers(near_dedup.word_numbers(t.encode()))
+    seq = lambda t: near_dedup.word_numbers(t.encode()).astype(np.uint16)
     assert near_dedup.similarity(seq(PROSE), seq(PROSE.upper())) == 1.0
     assert near_dedup.similarity(seq("a b"), seq("a b c")) == 0.0 and near_dedup.similarity(seq(""), seq("")) == 0.0
+    assert near_dedup.similarity(seq("a b c d"), seq("a b c d e")) == 0.8
     words = [f"w{k}" for k in range(104)]
     swapped = words[52:] + words[:52]
     assert near_dedup.similarity(seq(" ".join(words)), seq(" ".join(swapped))) == 0.0
     one = " ".join(words)
     other = " ".join(words[:50] + ["x"] + words[51:])
-    assert near_dedup.similarity(seq(one), seq(other)) == pytest.approx(95 / 105)
+    assert near_dedup.similarity(seq(one), seq(other)) == pytest.approx(103 / 104)
+
+
+@pytest.mark.parametrize("rows", [3, 512])
+def test_alignment_equals_the_plain_table(monkeypatch, rows):
+    monkeypatch.setattr(near_dedup, "ROWS", rows)
+    rng = random.Random(rows)
+    for _ in range(400):
+        one = [rng.choice("abcdefgh" if rng.random() < 0.5 else "abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 60))]
+        other = list(one)
+        for _ in range(rng.randrange(0, 8)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(3)] = [rng.choice("abcxyz") for _ in range(rng.randrange(3))]
+        number = lambda x: np.array([ord(c) for c in x], np.uint16)
+        assert near_dedup.similarity(number(one), number(other)) == pytest.approx(plain_similarity(one, other))
+
+
+def test_very_long_texts_align_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 1 << 16, 60_000).astype(np.uint16)
+    other = np.delete(one, rng.choice(len(one), 300, replace=False))
+    assert near_dedup.similarity(one, other) == pytest.approx(59_700 / 60_000)
+    assert near_dedup.similarity(one, rng.permutation(one)) == 0.0
 
 
 def test_near_duplicates_empty(spark, tmp_path):
@@ -239,7 +297,7 @@ def test_pipeline_by_brute_force(spark):
     scores = plain_scores(model, [r["text"] for r in ruled_rows.values()])
     assert set(good_rows) == {i for i, s in zip(ruled_rows, scores, strict=True) if s >= quality_classifier.THRESHOLD}
     # Near copies: all pairs.
-    seqs = {i: near_dedup.kmers(near_dedup.word_numbers((r["text"] or "").encode())) for i, r in good_rows.items()}
+    seqs = {i: plain_words(r["text"]) for i, r in good_rows.items()}
     first = {i: i for i in sorted(seqs)}
 
     def top(i):
@@ -249,7 +307,7 @@ def test_pipeline_by_brute_force(spark):
 
     for b in first:
         for a in first:
-            if a < b and (good_rows[a]["text"] == good_rows[b]["text"] or near_dedup.similarity(seqs[a], seqs[b]) > 0):
+            if a < b and (good_rows[a]["text"] == good_rows[b]["text"] or plain_similarity(seqs[a], seqs[b]) > 0):
                 x, y = sorted((top(a), top(b)))
                 first[y] = x
     assert set(unique_rows) == {top(i) for i in first}
