@@ -1,7 +1,8 @@
 """Structured Streaming over worker events and segments.
 
 Late results are told by token (generation and attempt), not by time, so no watermark may drop
-them; the state kept is one row a key.
+them; the state kept is one row a key. It is kept for good: a processing-time timeout would drop it, but
+with one a query of trigger ``availableNow`` never ends (``timers`` has its state go with the attempt).
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from cuelake import schemas
 PROTOCOL = 1
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Events of JSON lines as they arrive; ``valid`` is false for lines to set aside."""
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, generation: str | None = None) -> DataFrame:
+    """Events of JSON lines as they arrive; ``valid`` is false for lines to set aside, and for those of another generation than the one given."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
     parsed = lines.select("value", F.from_json("value", schemas.EVENT).alias("e"))
-    valid = F.coalesce((F.col("e.protocol") == PROTOCOL) & F.col("e.event").isNotNull(), F.lit(False))
+    fits = (F.col("e.protocol") == PROTOCOL) & F.col("e.event").isNotNull()
+    if generation is not None:
+        fits &= F.col("e.generation") == generation
+    valid = F.coalesce(fits, F.lit(False))
     return parsed.select("e.*", valid.alias("valid"), "value")
 
 
@@ -68,16 +72,3 @@ def latest_progress(events: DataFrame, key: str = "job_id") -> DataFrame:
     """The newest event of each key (complete mode): progress is coalesced, whatever came in between."""
     columns = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*columns), "seq").alias("e")).select(key, "e.*")
-
-
-def upsert_states(updates: DataFrame, folder: str, checkpoint: str, key: str = "key"):
-    """Starts a query that appends each micro-batch's updates under its number.
-
-    A batch that is run again overwrites its own part only, so a restart changes nothing; readers
-    take the latest row of a key (``operators.manifest.merged``).
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
