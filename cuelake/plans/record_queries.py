@@ -15,7 +15,7 @@ from cuelake import shared
 from cuelake.functions import identity, text
 from cuelake.operators import enrich, manifest, metrics, sequence, stages, validation
 from cuelake.plans.queries import _BLOCK, _CUES, _strip, conversation_cues, event_rows, query, table
-from cuelake.sources import positional, sinks, subtitle_sink, subtitles
+from cuelake.sources import positional, sinks, states, subtitle_sink, subtitles
 
 
 @query(
@@ -309,3 +309,43 @@ def path_order(spark, sf_dir):
     """Pages numbered in order of their urls, as inputs are in order of their paths."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return shared.numbered(pages, [F.col("url"), F.col("page_id")], "number", "path-order").select("page_id", "number")
+
+
+@query(
+    "keyed_states",
+    """WITH e AS (SELECT user_id::VARCHAR AS key, event_type, value, epoch_us(ts) // 1000000 AS secs, event_id FROM events),
+one AS (SELECT event_type, key, arg_max(value, event_id) AS value, arg_max(secs, event_id) AS secs, max(event_id) AS last FROM e GROUP BY event_type, key)
+SELECT event_type AS file_id, key, CASE WHEN last % 5 = 0 THEN NULL ELSE event_type END AS status,
+  CASE WHEN last % 5 IN (0, 1) THEN NULL ELSE secs END AS size, CASE WHEN last % 5 IN (0, 2) THEN NULL ELSE last::VARCHAR END AS sha256,
+  CASE WHEN last % 5 = 0 THEN NULL ELSE value END AS unknown FROM one WHERE event_type <> 'view'""",
+)
+def keyed_states(spark, sf_dir):
+    """Events as one state file a type, an object of users; every fifth state is a mere string, others lack a record, one file is broken."""
+    rows = event_rows(spark, sf_dir).select("event_type", F.col("user_id").cast("string").alias("key"), "value", F.floor("at").alias("at"), "event_id")
+    last = rows.groupBy("event_type", "key").agg(F.max_by(F.struct("value", "at", "event_id"), "event_id").alias("e")).select("event_type", "key", "e.*")
+    kind = F.col("event_id") % 5
+    record = F.when(kind != 2, F.struct(F.struct(F.col("event_id").cast("string").alias("sha256")).alias("a.srt")))
+    video = F.when(kind != 1, F.struct(F.col("at").alias("size"), F.lit("x").alias("mtime_ns")))
+    state = F.to_json(F.struct(F.col("event_type").alias("status"), video.alias("video_identity"), record.alias("outputs"), F.col("value").alias("unknown")))
+    entry = F.concat(F.lit('"'), F.col("key"), F.lit('":'), F.when(kind == 0, F.lit('"gone"')).otherwise(state))
+    files = last.groupBy("event_type").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value"))
+    files = files.withColumn("value", F.when(F.col("event_type") == "view", F.substr("value", F.lit(2))).otherwise(F.col("value")))
+    found = states.keyed_states(files.withColumnRenamed("event_type", "file_id"))
+    return found.select(
+        "file_id",
+        "key",
+        "status",
+        F.col("video_identity.size").alias("size"),
+        F.try_element_at("outputs", F.lit("a.srt"))["sha256"].alias("sha256"),
+        F.try_variant_get("more", "$.unknown", "double").alias("unknown"),
+    )
+
+
+@query(
+    "base_urls",
+    r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([hH][tT][tT][pP][sS]?)://([^/?#@:\s]+)(/[^?#\s]*)?([?]?#?)$', ['scheme', 'host', 'path', 'rest']) AS m FROM pages)
+SELECT page_id, CASE WHEN m.host <> '' AND NOT ends_with(rtrim(m.path, '/'), '/chat/completions') THEN lower(m.scheme) || '://' || lower(m.host) || rtrim(m.path, '/') END AS url FROM p""",
+)
+def base_urls(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", identity.base_url(F.col("url"))["url"].alias("url"))
