@@ -141,6 +141,16 @@ def same_length(words: list[str], width: int) -> Iterator[tuple[np.ndarray, list
                 yield some, [words[k] for k in some.tolist()]
 
 
+def block_size(chances: np.ndarray) -> int:
+    """Letters that are summed under one scale, ``BLOCK`` at most.
+
+    Every letter is a piece of its own at least, so a letter more makes a sum smaller by the least chance at worst, and this many of them
+    can't take it out of the range of numbers.
+    """
+    least = chances[chances > 0].min(initial=1.0)
+    return max(1, min(BLOCK, int(280 / max(1e-9, -np.log10(least)))))
+
+
 def forward(lattice: np.ndarray, chances: np.ndarray, alpha: np.ndarray, begin: int = 1) -> np.ndarray:
     """Sums over segmentations of all beginnings, ``alpha`` (end, word, language), filled from ``begin`` on.
     The last row of ``chances`` is zero."""
@@ -167,23 +177,23 @@ def _whole(lattice: np.ndarray, chances: np.ndarray) -> np.ndarray:
 def _blocks(word: str, pieces: Pieces, chances: np.ndarray) -> Iterator[tuple]:
     """For a long word, block by block: its lattice, the scaled sums of beginnings, and the log of their scale by language.
 
-    A block starts with the ``longest`` places before it, as pieces may begin there.
+    A block starts with the ``longest`` places before it, as pieces may begin there. The last of them has the value 1, in every language.
     """
-    lead, size = pieces.longest, len(word)
+    lead, size, block = pieces.longest, len(word), block_size(chances)
     before, scale = np.zeros((1, 1, chances.shape[1])), np.zeros(chances.shape[1])
     before[0] = 1
     at = 0
     while at < size:
         held = before.shape[0] - 1
-        end = min(size, at + BLOCK)
+        end = min(size, at + block)
         lattice = pieces.lattice([word[at - held : end]])
         alpha = np.zeros((end - at + held + 1, 1, chances.shape[1]))
         alpha[: held + 1] = before
         forward(lattice, chances, alpha, held + 1)
         yield at, held, lattice, alpha, scale.copy()
         before = alpha[-min(lead, end) - 1 :]
-        most = np.maximum(before.max(axis=(0, 1)), 1e-300)
-        before, scale, at = before / most, scale + np.log(most), end
+        last = np.maximum(before[-1, 0], 1e-300)
+        before, scale, at = before / last, scale + np.log(last), end
 
 
 def word_scores(words: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
@@ -191,7 +201,7 @@ def word_scores(words: list[str], pieces: Pieces, chances: np.ndarray) -> np.nda
     out = np.zeros((len(words), chances.shape[1]))
     padded = np.vstack([chances, np.zeros(chances.shape[1])])
     for places, some in same_length(words, pieces.longest + chances.shape[1]):
-        if len(some[0]) <= BLOCK:
+        if len(some[0]) <= block_size(padded):
             out[places] = np.log(np.maximum(_whole(pieces.lattice(some), padded)[-1], 1e-300))
             continue
         for place, word in zip(places.tolist(), some, strict=True):
@@ -218,7 +228,7 @@ def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, chance
                     beta[end - length, there] += passed
 
     for places, some in same_length(words, pieces.longest + 2):
-        if len(some[0]) <= BLOCK:
+        if len(some[0]) <= block_size(padded):
             lattice = pieces.lattice(some)
             alpha = _whole(lattice, padded[:, None])[:, :, 0]
             beta = np.zeros(alpha.shape)

@@ -61,6 +61,23 @@ def test_runs_of_any_length_and_all_pieces_count():
     assert np.allclose(uses, 8000 * lang_id.expected_counts(["aaaaaaab"], np.array([1.0]), pieces, chances[:, 0]))
 
 
+@pytest.mark.parametrize("letters", [60, 64, 65, 5000])
+def test_unlikely_runs_are_told_apart(letters):
+    """Against exact logarithms: one letter at a time there is one segmentation only, far below the least number."""
+    pieces = lang_id.Pieces(["a", "b"])
+    chances = np.array([[2e-7, 1e-5, 1e-12], [0.5, 0.5, 1e-9], [1e-3, 1e-3, 0.5]])
+    scores = lang_id.word_scores(["a" * letters], pieces, chances)[0]
+    assert scores == pytest.approx(letters * np.log(chances[0]))
+    # Two pieces: f(n) = p f(n-1) + q f(n-2), in logarithms.
+    pieces, (p, q) = lang_id.Pieces(["a", "aa"]), (3e-9, 4e-8)
+    logs = [0.0, math.log(p)]
+    while len(logs) <= letters:
+        logs.append(np.logaddexp(math.log(p) + logs[-1], math.log(q) + logs[-2]))
+    assert lang_id.word_scores(["a" * letters], pieces, np.array([[p], [q], [0.1]]))[0, 0] == pytest.approx(logs[-1])
+    uses = lang_id.expected_counts(["a" * letters], np.array([1.0]), pieces, np.array([p, q, 0.1]))
+    assert uses[0] + 2 * uses[1] == pytest.approx(letters) and np.isfinite(uses).all()
+
+
 def test_language_held_out(spark):
     found = q.op1_language_id(spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
