@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -95,3 +96,22 @@ def test_identities(spark):
     for bad in ("ftp://x", "http://u:p@x/", "http://x/?q", "http://x/v1/chat/completions", "http://x:0/", "http://a b/"):
         with pytest.raises(ValueError):
             identity.normalize_base_url(bad)
+
+
+def test_phrases_are_found_as_one_by_one(spark):
+    phrases = [p.casefold() for p in text.AGGRESSIVE_PHRASES]
+    pattern = text.phrase_pattern(phrases)
+    # Parts of phrases in a row: beginnings that go wrong, phrases within phrases, phrases one after another.
+    rng = random.Random(3)
+    parts = [p[:k] for p in phrases for k in range(1, len(p) + 1)] + [p[k:] for p in phrases for k in range(len(p))] + [" ", "x", "s", "m"]
+    samples = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(3000)] + phrases
+    wanted = [any(p in s for p in phrases) for s in samples]
+    assert [bool(re.search(pattern, s)) for s in samples] == wanted and 500 < sum(wanted) < 2900
+    assert column(spark, samples, lambda v: v.rlike(pattern)) == wanted
+
+
+def test_edges_of_any_length_and_long_texts(spark):
+    samples = ["。" * 5000 + "谢谢观看" + "~" * 5000, "!" * 9, "　" * 4000, "x" * 5000 + "MbC", "thank you for watching " * 2]
+    assert column(spark, samples, text.is_hallucination) == [True, False, True, False, False]
+    assert column(spark, samples, lambda v: text.is_hallucination(v, "aggressive")) == [True, False, True, True, True]
+    assert column(spark, [None], text.is_hallucination) == [None]
