@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.shared import materialise, shared_folder
+
+__all__ = ["LOWER", "WORDS", "bind", "held_out", "materialise", "shared_folder", "slices", "table", "texts_as_bytes"]
+
 #: bytes.translate tables. LOWER lowers A-Z only. WORDS also turns every ASCII character that is
 #: neither a letter nor a digit into a space, so that split() yields the words
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text (UTF-8 bytes from 0x80 on stay).
@@ -29,30 +31,6 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own one only where that is unset and Spark is one local process (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here.
-
-    A lost executor costs a re-read, not a recomputation. The table goes with the application.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, even where body names it inside a lambda."""
     return F.transform(F.array(value), body)[0]
