@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.shared import materialise, shared_folder
+from cuelake.shared import materialise
 
-__all__ = ["LOWER", "WORDS", "bind", "held_out", "materialise", "shared_folder", "slices", "table", "texts_as_bytes"]
+__all__ = ["LOWER", "WORDS", "bind", "held_out", "materialise", "slices", "table", "texts_as_bytes"]
 
 #: bytes.translate tables. LOWER lowers A-Z only. WORDS also turns every ASCII character that is
 #: neither a letter nor a digit into a space, so that split() yields the words
