@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,14 +63,9 @@ def _arrow(schema: str) -> pa.Schema:
 
 
 def _batches(rows: Iterator[tuple], schema: str, most: int) -> Iterator[pa.RecordBatch]:
-    types, some = _arrow(schema), []
-    for row in rows:
-        some.append(dict(zip(types.names, row, strict=True)))
-        if len(some) >= most:
-            yield pa.RecordBatch.from_pylist(some, types)
-            some = []
-    if some:
-        yield pa.RecordBatch.from_pylist(some, types)
+    fields = _arrow(schema)
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), fields.types, strict=True)], schema=fields)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], names: str) -> Iterator[tuple]:
