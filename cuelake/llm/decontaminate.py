@@ -8,7 +8,7 @@ reach the coverage limit.
 
 Defined results: a null or empty text has no words, no hits and isn't contaminated. Items without
 words, null ones included, never match. Repeated documents or items are judged one by one; an
-item id that occurs twice counts once. Extra columns of either table are ignored.
+item id that occurs twice counts once, and items without an id are left out, as a hit couldn't name them. Extra columns of either table are ignored.
 
 Items are handled in blocks of at most ``block_words`` words, so the broadcast automaton has a
 fixed size whatever the benchmark grows to; with more than one block the documents are scanned
