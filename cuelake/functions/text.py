@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -199,6 +202,30 @@ def is_hallucination(text: Column, mode: str = "conservative") -> Column:
     return bind(strip(text), judged)
 
 
+def invented(texts: pa.Array, mode: str = "conservative") -> np.ndarray:
+    """``is_hallucination`` of an Arrow array of texts, for tasks that judge each distinct text once; null counts as invented."""
+    if mode not in ("off", "conservative", "aggressive"):
+        raise ValueError(f"unknown filter mode: {mode}")
+    as_mask = lambda x: x.to_numpy(zero_copy_only=False)
+    bare = pc.utf8_trim(texts.fill_null(""), characters=SPACES)
+    found = as_mask(pc.equal(bare, ""))
+    if mode == "off":
+        return found
+    lowered = [x.lower() for x in bare.to_pylist()]
+    plain = pa.array(p.strip().strip(PHRASE_EDGES).casefold() for p in CONSERVATIVE_PHRASES)
+    found = found | as_mask(pc.is_in(pc.utf8_trim(pa.array(lowered, pa.string()), characters=PHRASE_EDGES), value_set=plain))
+    if mode == "conservative":
+        return found
+    for opening, closing in ("()", "（）", "[]"):
+        found |= as_mask(pc.and_(pc.starts_with(bare, opening), pc.ends_with(bare, closing)))
+    # One search through all of them: no phrase holds the line feed that stands between two.
+    inside = re.compile(phrase_pattern([p.casefold() for p in AGGRESSIVE_PHRASES]))
+    ends = np.cumsum([len(x) + 1 for x in lowered])
+    hits = [m.start() for m in inside.finditer("\n".join(lowered))]
+    found[np.searchsorted(ends, np.array(hits, np.int64), side="right")] = True
+    return found
+
+
 def is_language_tag(value: Column, *, allow_auto: bool = False) -> Column:
     ok = strip(value).rlike(r"^[a-zA-Z]{2,3}(?:-[a-zA-Z0-9]{2,8})*\z")
     return ok | (strip(value) == "auto") if allow_auto else ok
