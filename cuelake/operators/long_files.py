@@ -3,58 +3,54 @@
 Greedy segments depend on all words before, yet little of that is left: where the segment that is open now began, how long its text is
 and how it ends. A file is cut into chunks of words, and three passes give exactly what one loop over the file gives:
 
-1. Every chunk is walked once for all places at which its first own segment may begin, its first ``ahead`` words. Walks that begin a
-   segment at the same word go on as one, which they soon do (at a pause at the latest), so a chunk costs little more than a loop. What is
-   kept is, for each entry, the number of segments begun and the segment left open at the end.
+1. For every chunk it is found what becomes of a segment begun at each place where its first own segment may begin. The words up to the
+   first that can't be in one text with the chunk's first word, by length or for a pause, are all such places, mostly a handful. Walks
+   from them soon meet and then go on as one (at a pause at the latest). What is kept is, for each entry, the number of segments begun and the
+   segment left open at the end.
 2. The chain of a file's chunks is followed through these small tables alone: the segment open at a chunk's end closes among the first
    words of the next one, which gives that chunk's entry, its first number and the words that its predecessor's last segment takes
    over. Rows stream through; a task holds one chunk's table.
 3. Every chunk makes its segments from its entry on.
 
-A segment that takes more than ``ahead`` words of a chunk without closing is beyond pass 1's entries; files with such a segment are
-done again with all words as entries, where nothing can be missed.
+Tables hold at most ``ahead`` words; files in which a chunk has more such places than that, and a segment that runs past them, are done
+again with all of them, where nothing can be missed.
 
 Words are sorted by ranges of (file, seq), so a file that holds most words is spread over as many tasks as its words deserve. Words with
-equal file and seq are ordered by their times and text; null words count as empty.
+equal file and seq are ordered by their times and text; null words count as empty. Rows that hold many words each are sorted as rows, and
+their words found afterwards in the tasks that cut them into chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake import schemas
+from cuelake.operators.greedy import Limits, Spoken, Words, as_array, changes, first_places, spoken_columns, spoken_parts
 from cuelake.operators.sequence import MAX_CHARS, MAX_GAP, MAX_SECONDS, TextJoin
 from cuelake.shared import materialise
 
-CHUNK = 4096
+#: Words in a chunk. Readers take some thousand rows at a time, so rows stay small: 16 KB or so.
+CHUNK = 512
 AHEAD = 96
+#: Chunks in a batch.
+MOST_CHUNKS = 64
 
-_CHUNKS = "file_id string, first long, words array<string>, starts array<double>, ends array<double>"
+_CHUNKS = "file_id string, words array<string>, starts array<double>, ends array<double>"
 _TABLES = (
-    "file_id string, first long, size int, words array<string>, starts array<double>, ends array<double>, "
+    "size int, head array<string>, head_starts array<double>, head_ends array<double>, "
     "counts array<int>, ending array<int>, begins array<double>, stops array<double>, lengths array<int>, lasts array<string>"
 )
+_FOLLOWED = f"file_id string, first long, {_TABLES}"
 _ENTRIES = "file_id string, first long, entry int, number int, tail array<string>, tail_end double, failed boolean"
 
 
-@dataclass
-class Limits:
-    max_chars: int
-    max_seconds: float
-    max_gap: float
-    language: str
-
-    def closes(self, text: TextJoin, begin: float, end: float, word: str, start: float, stop: float) -> bool:
-        """Whether a word doesn't fit into the open segment any more."""
-        return text.added(word)[1] > self.max_chars or stop - begin > self.max_seconds or start - end > self.max_gap
-
-
 def _arrow(schema: str) -> pa.Schema:
     """The Arrow form of a schema string of the types used here."""
     plain = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -76,77 +72,102 @@ def _rows(batches: Iterator[pa.RecordBatch], names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(c).to_pylist() for c in names.split()), strict=True)
 
 
-def chunks(words: DataFrame, size: int) -> DataFrame:
-    """Rows of up to ``size`` words of one file, consecutive in it; first is the place of the first one in the sorted table."""
-    order = ["file_id", "seq", "start", "end", "word"]
-    ranged = words.select("file_id", F.col("seq").cast("long").alias("seq"), "start", "end", F.coalesce("word", F.lit("")).alias("word"))
-    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        file, first, held = None, 0, []
-        rows = (
-            row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("file_id", "place", "word", "start", "end")), strict=True)
-        )
-        for this, place, *word in rows:
-            if held and (this != file or len(held) >= size):
-                yield file, first, *map(list, zip(*held, strict=True))
-                held = []
-            if not held:
-                file, first = this, place
-            held.append(word)
-        if held:
-            yield file, first, *map(list, zip(*held, strict=True))
-
-    return ranged.mapInArrow(lambda b: _batches(pack(b), _CHUNKS, 64), _CHUNKS)
+def _names(schema: str) -> list[str]:
+    return [f.split(" ")[0] for f in schema.split(", ")]
 
 
-def walk_all(words: list[str], starts: list[float], ends: list[float], entries: int, limits: Limits) -> tuple:
-    """For segments begun at each of the first ``entries`` words: how many begin in all, and which segment is open at the end.
+def _cut(files: pa.Array, words: pa.Array, starts: np.ndarray, ends: np.ndarray, begins: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of words that lie one after another; ``files`` are those of the stretches at ``begins``."""
+    stops = np.append(begins[1:], len(words))
+    cuts = [np.arange(b, e, size) for b, e in zip(begins.tolist(), stops.tolist(), strict=True)]
+    of = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+    cuts = np.append(np.concatenate(cuts), len(words))
+    for at in range(0, len(of), MOST_CHUNKS):
+        edges = cuts[at : at + MOST_CHUNKS + 1]
+        own, offsets = slice(int(edges[0]), int(edges[-1])), pa.array((edges - edges[0]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (as_array(words[own]), pa.array(starts[own]), pa.array(ends[own]))]
+        yield pa.RecordBatch.from_arrays([files.take(pa.array(of[at : at + MOST_CHUNKS])), *lists], names=_names(_CHUNKS))
 
-    Returns counts and ending by entry, and the open segments that ending numbers (begin, end, length, last character).
-    """
-    counts = [0] * entries
-    # Of each open segment: its text, begin and end, the entries that lead to it with the segments begun, and segments to add to all.
-    walks: list[list] = []
-    for i, (word, start, stop) in enumerate(zip(words, starts, ends, strict=True)):
-        closing = [w for w in walks if limits.closes(w[0], w[1], w[2], word, start, stop)]
-        going = [w for w in walks if not any(w is c for c in closing)] if closing else walks
-        for walk in going:
-            walk[0].take(word)
-            walk[2] = stop
-        if closing or i < entries:
-            text = TextJoin(limits.language)
-            text.take(word)
-            if len(closing) == 1 and i >= entries:
-                # One walk that goes on alone keeps its list of members.
-                members, more = closing[0][3], closing[0][4] + 1
-            else:
-                members, more = [(e, n + 1) for walk in closing for e, n in _members(walk)], 0
-                if i < entries:
-                    members.append((i, 1))
-            going = [*going, [text, start, stop, members, more]]
-        walks = going
-    ending = [0] * entries
-    for k, walk in enumerate(walks):
-        for e, n in _members(walk):
-            counts[e], ending[e] = n, k
-    return counts, ending, [(w[1], w[2], w[0].length, w[0].last) for w in walks]
 
+def _pack_words(size: int) -> Callable:
+    """Chunks of sorted rows of one word each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                files, words, starts, ends = (batch.column(c) for c in ("file_id", "word", "start", "end"))
+                begins = changes(files)
+                yield from _cut(files.take(pa.array(begins)), words, starts.to_numpy(), ends.to_numpy(), begins, size)
 
-def _members(walk: list) -> Iterator[tuple[int, int]]:
-    return ((e, n + walk[4]) for e, n in walk[3])
+    return run
 
 
-def tables(chunked: DataFrame, ahead: int, limits: Limits) -> DataFrame:
-    """Pass 1: each chunk's first words, and what becomes of a segment begun at each of them."""
+def _pack_rows(size: int, spoken: Spoken) -> Callable:
+    """Chunks of sorted rows of many words each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for file, first, words, starts, ends in _rows(batches, "file_id first words starts ends"):
-            n = min(ahead, len(words))
-            counts, ending, final = walk_all(words, starts, ends, n, limits)
-            yield file, first, len(words), words[:n], starts[:n], ends[:n], counts, ending, *map(list, zip(*final, strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, words, starts, ends, firsts in spoken_parts(batch, spoken):
+                files = rows.column("file_id")
+                begins = changes(files)
+                yield from _cut(files.take(pa.array(begins)), words, starts, ends, firsts[begins], size)
+
+    return run
+
+
+def _sorted_words(words: DataFrame) -> DataFrame:
+    order = ["file_id", "seq", "start", "end", "word"]
+    ranged = words.select("file_id", F.col("seq").cast("long").alias("seq"), "start", "end", F.coalesce("word", F.lit("")).alias("word"))
+    return ranged.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def chunks(words: DataFrame, size: int) -> DataFrame:
+    """Rows of up to ``size`` words of one file, consecutive in it; first puts them in order."""
+    return _sorted_words(words).mapInArrow(_pack_words(size), _CHUNKS).withColumn("first", F.monotonically_increasing_id())
+
+
+def _walked(words: Words, begin: int, stop: int, entries: int) -> tuple:
+    """What ``walk_all`` returns, for the chunk of ``words`` from begin to stop."""
+    # Of each word at which a segment begins: how many begin from there on, and which is the last.
+    known: dict[int, tuple[int, int]] = {}
+    for at in range(begin, begin + entries):
+        path = []
+        while at < stop and at not in known:
+            path.append(at)
+            at = words.following(at)
+        count, last = known[at] if at < stop else (0, path[-1] if path else None)
+        for k, at in enumerate(reversed(path), 1):
+            known[at] = count + k, last
+    counts, lasts = zip(*(known[at] for at in range(begin, begin + entries)), strict=True)
+    open_ = {at: k for k, at in enumerate(dict.fromkeys(lasts))}
+    final = [(float(words.starts[at]), float(words.ends[stop - 1]), words.length(at, stop), words.last(at, stop)) for at in open_]
+    return list(counts), [open_[at] for at in lasts], final
+
+
+def walk_all(words: list[str], starts: list[float], ends: list[float], entries: int, limits: Limits) -> tuple:
+    """For segments begun at each of the first ``entries`` words: how many begin in all, and which segment is open at the end.
 
-    return chunked.mapInArrow(lambda b: _batches(run(b), _TABLES, 64), _TABLES)
+    Returns counts and ending by entry, and the open segments that ending numbers (begin, end, length, last character).
+    """
+    held = Words(pa.array(words, pa.string()), np.array(starts, float), np.array(ends, float), np.zeros(1, np.int64), limits)
+    return _walked(held, 0, held.n, entries)
+
+
+def _laid(batch: pa.RecordBatch, ahead: int, limits: Limits) -> pa.RecordBatch:
+    """Pass 1: chunks with their first words, and what becomes of a segment begun at each of them."""
+    said, starts, ends = batch.column("words").flatten(), *(batch.column(c).flatten().to_numpy() for c in ("starts", "ends"))
+    _, firsts = first_places(batch.column("words"))
+    words = Words(said, starts, ends, firsts, limits)
+    rows = []
+    for begin, stop in zip(firsts.tolist(), [*firsts[1:].tolist(), words.n], strict=True):
+        # No segment that is open at the begin goes on where one begun there couldn't, but for its time.
+        n = min(ahead, abs(words.steps[begin]) + 1 - begin, stop - begin)
+        counts, ending, final = _walked(words, begin, stop, n)
+        own = slice(begin, begin + n)
+        rows.append((stop - begin, said[own].to_pylist(), starts[own].tolist(), ends[own].tolist(), counts, ending, *map(list, zip(*final, strict=True))))
+    fields = _arrow(_TABLES)
+    laid = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.types, strict=True)]
+    return pa.RecordBatch.from_arrays([*batch.columns, *laid], names=[*batch.schema.names, *fields.names])
 
 
 class OpenSegment(TextJoin):
@@ -195,21 +216,48 @@ def follow(tables: Iterator[tuple], limits: Limits) -> Iterator[tuple]:
     yield from done()
 
 
+def _segments(batch: pa.RecordBatch, limits: Limits) -> pa.RecordBatch:
+    """Pass 3: the segments that begin in chunks (file_id, words, starts, ends, entry, number, tail, tail_end)."""
+    said, starts, ends = batch.column("words").flatten(), *(batch.column(c).flatten().to_numpy() for c in ("starts", "ends"))
+    _, firsts = first_places(batch.column("words"))
+    words = Words(said, starts, ends, firsts, limits)
+    entries, numbers = (batch.column(c).to_numpy().astype(np.int64) for c in ("entry", "number"))
+    stops = [*firsts[1:].tolist(), words.n]
+    walks = [words.begins(b, e) for b, e in zip((firsts + entries).tolist(), stops, strict=True)]
+    sizes = np.array([len(w) for w in walks])
+    begins = np.array([at for w in walks for at in w], np.int64)
+    until = np.append(begins[1:], words.n)
+    ending = np.cumsum(sizes) - 1
+    # Words before the next chunk's entry go to the last segment here: see tails.
+    until[ending] = stops
+    stop_times, texts = ends[until - 1], words.texts(begins, until)
+    tails = [(k, t, e) for k, t, e in zip(ending.tolist(), batch.column("tail").to_pylist(), batch.column("tail_end").to_pylist(), strict=True) if t]
+    if tails:
+        longer = []
+        for k, tail, end in tails:
+            text = TextJoin(limits.language)
+            whole = texts[k].as_py()
+            text.parts, text.length, text.last = [whole], len(whole), whole[-1:]
+            for word in tail:
+                text.take(word)
+            longer.append("".join(text.parts))
+            stop_times[k] = end
+        mask = np.zeros(len(begins), bool)
+        mask[[k for k, _, _ in tails]] = True
+        texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(longer, pa.string()))
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    number = (np.arange(len(begins)) - (ending + 1 - sizes)[of] + numbers[of]).astype(np.int32)
+    columns = [batch.column("file_id").take(pa.array(of)), pa.array(number), pa.array(starts[begins]), pa.array(stop_times), texts]
+    return pa.RecordBatch.from_arrays(columns, names=["file_id", "seq", "start", "end", "text"])
+
+
+_ENTERED = f"{_CHUNKS}, entry int, number int, tail array<string>, tail_end double"
+
+
 def segments_from(row: tuple, limits: Limits) -> Iterator[tuple]:
-    """Pass 3: the segments that begin in a chunk."""
-    file, words, starts, ends, entry, number, tail, tail_end = row
-    text, begin, end = None, 0.0, 0.0
-    for word, start, stop in zip(words[entry:], starts[entry:], ends[entry:], strict=True):
-        if text is not None and limits.closes(text, begin, end, word, start, stop):
-            yield file, number, begin, end, "".join(text.parts)
-            text, number = None, number + 1
-        if text is None:
-            text, begin = TextJoin(limits.language), start
-        text.take(word)
-        end = stop
-    for word in tail:
-        text.take(word)
-    yield file, number, begin, end if tail_end is None else tail_end, "".join(text.parts)
+    """The segments that begin in one chunk."""
+    batch = next(_batches(iter([row]), _ENTERED, 1))
+    yield from zip(*(c.to_pylist() for c in _segments(batch, limits).columns), strict=True)
 
 
 def segment_long_files(
@@ -223,23 +271,51 @@ def segment_long_files(
     ahead: int = AHEAD,
 ) -> DataFrame:
     """As ``sequence.segment_words``, with every file spread over tasks: segments (file_id, seq, start, end, text)."""
-    limits = Limits(max_chars, max_seconds, max_gap, language)
-    held = materialise(chunks(words, chunk), "word-chunks")
+    return _segmented(_sorted_words(words), _pack_words(chunk), Limits(max_chars, max_seconds, max_gap, language), chunk, ahead)
+
+
+def segment_long_rows(
+    rows: DataFrame,
+    spoken: Spoken = spoken_columns,
+    *,
+    max_chars: int = MAX_CHARS,
+    max_seconds: float = MAX_SECONDS,
+    max_gap: float = MAX_GAP,
+    language: str = "ja",
+    chunk: int = CHUNK,
+    ahead: int = AHEAD,
+) -> DataFrame:
+    """As ``segment_long_files`` of rows that hold many words each, in the order of their column ``at`` within a file_id.
+
+    ``spoken`` finds them, as for ``sequence.segment_rows``.
+    """
+    ordered = rows.repartitionByRange("file_id", "at").sortWithinPartitions("file_id", "at")
+    return _segmented(ordered, _pack_rows(chunk, spoken), Limits(max_chars, max_seconds, max_gap, language), chunk, ahead)
+
+
+def _segmented(ordered: DataFrame, pack: Callable, limits: Limits, chunk: int, ahead: int) -> DataFrame:
+    packed = ordered.mapInArrow(lambda b: (_laid(x, ahead, limits) for x in pack(b)), f"{_CHUNKS}, {_TABLES}")
+    held = materialise(packed.withColumn("first", F.monotonically_increasing_id()), "word-chunks")
+
+    def resolved(laid: DataFrame) -> DataFrame:
+        names = _names(_FOLLOWED)
+        laid = laid.select(*names).repartition("file_id").sortWithinPartitions("file_id", "first")
+        return laid.mapInArrow(lambda b: _batches(follow(_rows(b, " ".join(names)), limits), _ENTRIES, 1024), _ENTRIES)
 
-    def resolved(chunked: DataFrame, ahead: int) -> DataFrame:
-        laid = tables(chunked, ahead, limits).repartition("file_id").sortWithinPartitions("file_id", "first")
-        names = " ".join(f.split(" ")[0] for f in _TABLES.split(", "))
-        return laid.mapInArrow(lambda b: _batches(follow(_rows(b, names), limits), _ENTRIES, 1024), _ENTRIES)
+    def laid_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(at, MOST_CHUNKS) for b in batches for at in range(0, b.num_rows, MOST_CHUNKS))
+        return (_laid(p, chunk, limits) for p in parts)
 
-    entries = materialise(resolved(held, ahead), "chunk-entries")
+    entries = materialise(resolved(held), "chunk-entries")
     failed = entries.where("failed").select("file_id").distinct()
     if failed.first() is not None:
-        again = materialise(resolved(held.join(failed, "file_id", "left_semi"), chunk), "chunk-entries-again")
+        some = held.join(failed, "file_id", "left_semi").select(*_names(_CHUNKS), "first")
+        again = materialise(resolved(some.mapInArrow(laid_again, f"{_CHUNKS}, first long, {_TABLES}")), "chunk-entries-again")
         entries = entries.join(failed, "file_id", "left_anti").unionByName(again)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for row in _rows(batches, "file_id words starts ends entry number tail tail_end"):
-            yield from segments_from(row, limits)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(at, MOST_CHUNKS) for b in batches for at in range(0, b.num_rows, MOST_CHUNKS))
+        return (_segments(p, limits) for p in parts)
 
-    joined = held.join(entries.drop("file_id", "failed"), "first")
-    return joined.mapInArrow(lambda b: _batches(run(b), schemas.SEGMENT, 10_000), schemas.SEGMENT)
+    joined = held.select(*_names(_CHUNKS), "first").join(entries.drop("file_id", "failed"), "first").select(*_names(_ENTERED))
+    return joined.mapInArrow(run, schemas.SEGMENT)
