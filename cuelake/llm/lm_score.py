@@ -8,8 +8,8 @@ counted over all training rows:
 * the last ``DEPTH`` symbols or fewer where these reach over the beginning of the word;
 * the whole word so far with the space before it, of any length beyond that.
 
-A context is retained if it is frequent enough (``LEAST_COUNT`` times and ``LEAST_SHARE`` of all
-symbols, the tree's least probability) and its next-symbol distribution diverges from that of its
+A context is retained if it is frequent enough (``LEAST_COUNT`` times and once more for every
+1 / ``LEAST_SHARE`` symbols of the corpus: the tree's least probability, at every size) and its next-symbol distribution diverges from that of its
 longest counted suffix: count times Kullback-Leibler divergence, the nats it saves, must reach
 ``LEAST_GAIN``. All that pass are kept. At most 1 / ``LEAST_SHARE`` contexts of a length can, which
 bounds the tree; until then it grows with the corpus. Its smoothed distributions are a file that
@@ -27,7 +27,8 @@ they are equally likely.
 The base score is an add-0.1 unigram over words. Counts of all words are summed by shuffle. Words
 frequent enough to be among ``MOST_HEAVY`` are looked up from a broadcast table of that many rows
 at most; the rarer tokens of each text are joined to the counts by shuffle, one row per text and
-word, so that no table that grows with the corpus is broadcast.
+word, so that no table that grows with the corpus is broadcast. Logarithms come from one expression and are
+summed as multiples of 2 ** -36, so neither that division nor the order of sums shows in the score.
 
 Defined results: a null text is empty and consists of the end; repeated rows are scored alone;
 without training rows every word is unknown, N is 0 and all symbols are equally likely; other
@@ -47,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialise, slices, texts_as_bytes
@@ -64,6 +65,8 @@ LEAST_GAIN = 8.0
 #: Weight, in observations, of the shorter context's distribution.
 SMOOTHING = 15.0
 MOST_HEAVY = 100_000
+#: Base logarithms are whole numbers of 1 / UNIT: exact sums for texts of ten million words.
+UNIT = 1 << 36
 #: Words, and grams, that a task sums up before it passes them on.
 HELD_WORDS = 250_000
 HELD_GRAMS = 2_000_000
@@ -569,13 +572,18 @@ class SuffixTree:
 
 
 class LanguageModel:
-    """counts: the table of training words (word, n); tokens and distinct count the end as a word."""
+    """counts: the table of training words (word, n); heavy: units by word; tokens and distinct count the end as a word."""
 
     def __init__(self, counts: DataFrame, tree: SuffixTree, heavy: dict[bytes, int], ends: int, tokens: int, distinct: int):
         self.counts, self.tree, self.heavy, self.ends, self.tokens, self.distinct = counts, tree, heavy, ends, tokens, distinct
 
-    def base_log(self, n):
-        return math.log10((n + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
+    def units(self, n: Column) -> Column:
+        """The base log10 of a token counted n times, in units."""
+        return base_units(n, self.tokens, self.distinct)
+
+
+def base_units(n: Column, tokens: int, distinct: int) -> Column:
+    return F.round(F.log10((n + F.lit(0.1)) / F.lit(tokens + 0.1 * (distinct + 1))) * UNIT).cast("long")
 
 
 def fit(docs: DataFrame, *, most_heavy: int = MOST_HEAVY, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> LanguageModel:
@@ -595,7 +603,8 @@ def fit(docs: DataFrame, *, most_heavy: int = MOST_HEAVY, least_count: float = L
         kept, cut = kept + n, at
     heavy = {}
     if cut is not None:
-        heavy = {bytes(w): n for w, n in counts.where(octave >= cut).select("word", "n").toLocalIterator()}
+        units = base_units(F.col("n"), tokens + ends, distinct + 1)
+        heavy = {bytes(w): u for w, u in counts.where(octave >= cut).select("word", units).toLocalIterator()}
 
     # Bytes of training words: at most 256 sums.
     bytes_seen = counts.select("word", "n").mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n")).collect()
@@ -603,7 +612,7 @@ def fit(docs: DataFrame, *, most_heavy: int = MOST_HEAVY, least_count: float = L
     tree = SuffixTree(None, symbols)
     if ends:
         seen = (letters or 0) + ends
-        least = max(least_count, LEAST_SHARE * seen)
+        least = least_count + math.floor(LEAST_SHARE * seen)
         blocks = retained_contexts(texts, counts, symbols, max(PARTS, math.ceil(seen / PART_SYMBOLS)), least, least_gain)
         tree = SuffixTree(blocks, symbols, least, least_gain)
     return LanguageModel(counts, tree, heavy, ends, (tokens or 0) + ends, distinct + (1 if ends else 0))
@@ -619,15 +628,15 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total.astype(np.int64))], names=["byte", "n"])
 
 
-_SCORED = "row long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, k: long>>"
+_SCORED = "row long, n_tokens long, n_known long, base long, score double, rare array<struct<word: binary, k: long>>"
 
 
 def score(docs: DataFrame, model: LanguageModel, *, carry: list[str]) -> DataFrame:
     """The columns ``carry``, n_tokens, n_known, base_score and score of every row."""
     from pyspark.sql.types import StructType
 
-    base = {w: model.base_log(n) for w, n in model.heavy.items()}
-    end_log, end_known = model.base_log(model.ends if model.tokens else 0), int(model.ends > 0)
+    base, end_known = model.heavy, int(model.ends > 0)
+    end_log = docs.sparkSession.range(1).select(model.units(F.lit(model.ends))).first()[0]
     context = docs.sparkSession.sparkContext
     context.addFile(model.tree.path)
     held = context.broadcast((base, model.tree))
@@ -653,7 +662,7 @@ def score(docs: DataFrame, model: LanguageModel, *, carry: list[str]) -> DataFra
                 ends.append(len(rare))
             pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            out = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(tree.score(texts)), lists]
+            out = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.int64()), pa.array(tree.score(texts)), lists]
             names = ["row", *carry, "n_tokens", "n_known", "base", "score", "rare"]
             row, *kept = (batch.column(c) for c in ["row", *carry])
             yield pa.RecordBatch.from_arrays([row, *kept, *out], names=names)
@@ -664,13 +673,12 @@ def score(docs: DataFrame, model: LanguageModel, *, carry: list[str]) -> DataFra
     scored = materialise(rows.mapInArrow(run, schema), "lm-scores")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
     n = F.coalesce("n", F.lit(0))
-    log = F.log10((n + F.lit(0.1)) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))
     sums = (
         rare.join(model.counts.select("word", "n"), "word", "left")
         .groupBy("row")
         .agg(
             F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("k") * log).alias("more_base"),
+            F.sum(F.col("k") * model.units(n)).alias("more_base"),
         )
     )
     return (
@@ -680,7 +688,7 @@ def score(docs: DataFrame, model: LanguageModel, *, carry: list[str]) -> DataFra
             *carry,
             "n_tokens",
             (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-            (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+            ((F.col("base") + F.coalesce("more_base", F.lit(0))) / UNIT).alias("base_score"),
             "score",
         )
     )
