@@ -14,9 +14,11 @@ template with thirty parameter names, so baskets are made smaller before it and
 * tokens that stand in exactly the same labelled urls (by count and a sum of row hashes) are one item
   with one representative. No rule is lost by that: of such tokens the rules say the same, and urls
   are matched with the representative in place of each of them.
-* a basket holds its ``BASKET`` items that tell most of the verdict (by information gain). A
-  combination is missed only if a token of it is not among these in so many urls that its support is.
-* rules have at most ``LONGEST`` tokens. Longer ones, surer than all their parts, are dropped.
+* of a basket with more items, FP-growth gets the ``BASKET`` that tell most of the verdict (by information
+  gain). What that may cut apart is looked for level by level (``combinations``): all combinations of
+  up to ``LONGEST`` items of whole baskets, grown only from those that have the support and aren't sure
+  already. Equal baskets are one there. With both, no rule of up to ``LONGEST`` tokens is missed.
+* rules have at most ``LONGEST`` tokens: that is what a rule is here, whatever a basket's size.
 
 Support and confidence of what is found are then counted anew over the whole baskets.
 
@@ -31,6 +33,8 @@ empty result; without labelled urls all others are allowed; other columns are ig
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +51,7 @@ RULES = [
 ]
 SUPPORT = 0.005
 CONFIDENCE = 0.9
-#: Most items in a basket, and most tokens in a rule.
+#: Most items of a basket that FP-growth gets, and most tokens in a rule.
 BASKET = 12
 LONGEST = 4
 BROADCAST_RULES = 50_000
@@ -135,6 +139,29 @@ def with_items(urls: DataFrame, items: DataFrame) -> DataFrame:
     return found.select("row", F.transform("items", lambda x: x["item"]).alias("items"))
 
 
+def combinations(labelled: DataFrame, least: float, confidence: float) -> DataFrame:
+    """tokens of all combinations of up to ``LONGEST`` items that stand in ``least`` blocked baskets and are sure enough.
+
+    A combination grows by items that come later in the basket, while it has the support and isn't wholly sure: what it becomes
+    part of has no more support, and would be beaten by it.
+    """
+    n, k = F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("k")
+    baskets = labelled.groupBy(F.array_sort("items").alias("rest")).agg(n, k)
+    rows = baskets.withColumn("tokens", F.array().cast("array<string>"))
+    found = []
+    for level in range(1, LONGEST + 1):
+        each = rows.select("n", "k", "tokens", "rest", F.posexplode("rest").alias("at", "item"))
+        rest = F.slice("rest", F.col("at") + 2, F.size("rest"))
+        grown = each.select("n", "k", F.array_append("tokens", F.col("item")).alias("tokens"), rest.alias("rest"))
+        grown = materialise(grown, "url-grown") if level < LONGEST else grown
+        counted = grown.groupBy("tokens").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("k") >= least)
+        counted = materialise(counted, "url-combinations")
+        found.append(counted.where(F.col("k") / F.col("n") >= confidence).select("tokens"))
+        open_ = counted.where(F.col("k") < F.col("n")).select("tokens")
+        rows = grown.join(F.broadcast(open_) if _few(open_) else open_, "tokens", "left_semi")
+    return reduce(DataFrame.union, found)
+
+
 def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """rule number, tokens (items), confidence and support of the block rules; ``labelled`` has row, items and verdict."""
     n = labelled.count()
@@ -143,6 +170,8 @@ def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = C
     model = FPGrowth(minSupport=support, minConfidence=confidence, itemsCol="items").fit(baskets)
     found = model.associationRules.where(F.array_contains("consequent", "verdict=block")).select(F.array_sort("antecedent").alias("tokens"))
     found = found.where((F.size("tokens") <= LONGEST) & ~F.exists("tokens", lambda x: x.startswith("verdict=")))
+    if not labelled.where(F.size("items") > BASKET).isEmpty():
+        found = found.union(combinations(labelled, support * n, confidence)).distinct()
     found = materialise(found.withColumn("number", F.monotonically_increasing_id()), "url-rules")
     # Counted over whole baskets: a token that was cut from some counts there as well.
     counted = (

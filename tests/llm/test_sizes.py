@@ -1,6 +1,8 @@
 """Results that don't depend on the size of the input or of a basket."""
 
-from cuelake.llm import lm_score
+from itertools import combinations
+
+from cuelake.llm import lm_score, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +26,22 @@ def test_least_count_rises_evenly_with_the_corpus(spark, monkeypatch):
         monkeypatch.setattr(lm_score, "LEAST_SHARE", share)
         lm_score.fit(docs, least_count=8)
     assert asked == [8, 9, 14, 28]
+
+
+def test_rules_of_items_beyond_the_basket(spark):
+    """x and y block together; they come after more items than FP-growth gets of a basket."""
+    baskets = []
+    for k in range(120):
+        own = [f"n{j}" for j in range(15) if k % (j + 2)] + [t for t, at in (("x", 1), ("y", 2), ("z", 3)) if k // 5 >> at & 1 or k % 11 == at]
+        baskets.append((k, own, "block" if {"x", "y"} <= set(own) or k % 17 == 0 else "allow"))
+    rules = url_filter.mine(spark.createDataFrame(baskets, "row long, items array<string>, verdict string"), support=0.1, confidence=0.8)
+    found = {frozenset(r["tokens"]): round(r["confidence"], 6) for r in rules.collect()}
+    seen = [(frozenset(t), v == "block") for _, t, v in baskets]
+    sure = {}
+    for size in range(1, url_filter.LONGEST + 1):
+        for tokens in map(frozenset, combinations(sorted({t for s, _ in seen for t in s}), size)):
+            said = [v for s, v in seen if tokens <= s]
+            if sum(said) >= 0.1 * len(seen) and sum(said) >= 0.8 * len(said):
+                sure[tokens] = sum(said) / len(said)
+    assert max(len(t) for _, t, _ in baskets) > url_filter.BASKET and frozenset("xy") in sure
+    assert found == {t: round(s, 6) for t, s in sure.items() if not any(o < t and sure[o] >= s for o in sure)}
